@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -24,6 +24,11 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; null counts as empty."""
     column = column.fill_null("").cast(pa.large_string())
