@@ -126,3 +126,65 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """64-bit hash of each span of bytes, equal for equal bytes wherever they stand."""
     inverse = powers(len(prefix), _INV)
     return mix64((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
+BLOCK_BYTES = 6 << 20
+BLOCK_SCHEMA = "block long, ids binary, offsets binary, body binary"
+
+
+def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Whole texts packed into rows of about block_bytes: doc ids, offsets and zstd-compressed bytes.
+
+    Later stages exchange few large rows and work on them with numpy. Rows without an id are left out. The
+    caller materialises the result, so that a block's number names the same texts in every stage.
+    """
+    import zstandard
+    from pyspark import TaskContext
+
+    def run(batches):
+        part, seq = TaskContext.get().partitionId(), 0
+        ids, bodies, held = [], [], 0
+
+        def block():
+            nonlocal ids, bodies, held, seq
+            size = np.concatenate([np.diff(o) for _, o in bodies])
+            row = [pa.array([(part << 32) + seq], pa.int64()), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate([[0], np.cumsum(size)]).tobytes()], pa.binary()), pa.array([zstandard.compress(b"".join(d.tobytes() for d, _ in bodies), 3)], pa.binary())]
+            ids, bodies, held, seq = [], [], 0, seq + 1
+            return pa.RecordBatch.from_arrays(row, ["block", "ids", "offsets", "body"])
+
+        for some, texts in pieces(batches, block_bytes):
+            data, offsets = raw(texts)
+            if held and held + len(data) > block_bytes:
+                yield block()
+            ids.append(some.to_numpy(zero_copy_only=False).astype(np.int64))
+            bodies.append((data.copy(), offsets.copy()))
+            held += len(data)
+        if ids:
+            yield block()
+
+    return id_text(docs).where("doc_id is not null").mapInArrow(run, BLOCK_SCHEMA)
+
+
+def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc ids, offsets, bytes) of a block row."""
+    import zstandard
+
+    offsets = np.frombuffer(row["offsets"], np.int64)
+    return np.frombuffer(row["ids"], np.int64), offsets, np.frombuffer(zstandard.decompress(row["body"], max(int(offsets[-1]), 1)), np.uint8)
+
+
+def pack_columns(*columns: np.ndarray) -> bytes:
+    """Columns of equal or different length and type in one compressed binary value."""
+    import pickle
+
+    import zstandard
+
+    return zstandard.compress(pickle.dumps([np.ascontiguousarray(c) for c in columns], protocol=5), 1)
+
+
+def unpack_columns(blob: bytes) -> list[np.ndarray]:
+    import pickle
+
+    import zstandard
+
+    return pickle.loads(zstandard.decompress(blob))

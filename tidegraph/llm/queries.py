@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neighbours, quality, secrets, sentencepieces, simhash, tokenids, wordpiece
+from . import decontaminate, neighbours, quality, secrets, sentencepieces, simhash, suffixes, tokenids, wordpiece
 from .common import table
 
 def tokenizer_file(name: str) -> str:
@@ -41,6 +41,11 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removals(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), ids=False)
