@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neighbours, quality, secrets, sentencepieces, simhash, suffixes, tokenids, wordpiece
+from . import decontaminate, neighbours, ngrams, quality, secrets, sentencepieces, simhash, suffixes, tokenids, wordpiece
 from .common import table
 
 def tokenizer_file(name: str) -> str:
@@ -82,6 +82,11 @@ FROM d JOIN q USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING c
 """
 
 
+@query
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"))
