@@ -5,12 +5,14 @@ within ``radius`` bits must agree on one of the keys made from all but ``radius`
 (pigeonhole, exact); within a key, distances are counted on vertical bit planes with carry-save adders, and
 a block of candidates is abandoned once every lane exceeds the radius. Each key group reports a spanning
 forest of its links, not its pairs.
+
+Pigeonhole keys grow too many beyond a few bits. For a wide radius (copies with edits, similarity 0.8) the
+candidates come from MinHash bands of the same shingles instead, and the same bit-sliced comparison decides.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .common import id_text, pieces, raw, words_of
+from .common import id_text, mix64, pieces, raw, words_of
 from .components import components
 
 BITS = 64
@@ -28,11 +30,15 @@ RADIUS = 3
 SEED = 42
 #: Key groups up to this size are compared by shifting the sorted rows; larger ones by bit planes.
 SMALL_GROUP = 24
-#: Rows of one key handled at a time; a larger group is split again on its remaining bits.
+#: A larger key group is split again on its remaining bits.
 LARGE_GROUP = 1 << 14
+#: Similar texts: distance that nearly all pairs of similarity 0.8 keep to (10 bits on average, deviation 3),
+#: and MinHash bands that miss fewer than two in a thousand of them.
+WIDE_RADIUS, BANDS, BAND_ROWS = 15, 12, 4
 
 
-def _fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
+def _hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle hashes of all texts, where each text's begin, how many each has)."""
     norm, starts, before = words_of(*raw(texts))
     body = norm.tobytes()
     counts = np.diff(before)
@@ -43,7 +49,10 @@ def _fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
     last = np.minimum(word + shingle, np.repeat(before[1:], each))
     digest = xxhash.xxh64_intdigest
     cut = zip(starts[word].tolist(), (starts[last] - 1).tolist(), strict=True)
-    hashes = np.fromiter((digest(body[a:b], SEED) for a, b in cut), np.uint64, len(word))
+    return np.fromiter((digest(body[a:b], SEED) for a, b in cut), np.uint64, len(word)), first, each
+
+
+def _fingerprints(hashes: np.ndarray, first: np.ndarray, each: np.ndarray) -> np.ndarray:
     out = np.zeros(len(each), np.uint64)
     full = np.flatnonzero(each)
     # few columns at a time: the 64 counters of a long text never exist at once
@@ -54,15 +63,30 @@ def _fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row for each input row. Null or empty texts have fingerprint zero."""
+def _bands(hashes: np.ndarray, first: np.ndarray, each: np.ndarray, bands: int) -> np.ndarray:
+    """(texts, bands) keys: hashes of BAND_ROWS minima each, over the set of a text's shingles."""
+    full = np.flatnonzero(each)
+    out = np.zeros((len(each), bands), np.uint64)
+    for k in range(bands * BAND_ROWS):
+        least = np.zeros(len(each), np.uint64)
+        if len(full):
+            least[full] = np.minimum.reduceat(mix64(hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)), first[full])
+        out[:, k // BAND_ROWS] = mix64(out[:, k // BAND_ROWS] * np.uint64(31) + least)
+    return out
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, bands: int = 0) -> DataFrame:
+    """(doc_id, fp, bands): one row for each input row. Null or empty texts have fingerprint zero."""
 
     def run(batches):
         for ids, texts in pieces(batches, 1 << 22):
-            fp = _fingerprints(texts, shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(fp)], ["doc_id", "fp"])
+            hashed = _hashes(texts, shingle)
+            fp = _fingerprints(*hashed).view(np.int64)
+            keys = _bands(*hashed, bands).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(fp), lists], ["doc_id", "fp", "bands"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs).mapInArrow(run, "doc_id long, fp long, bands array<long>")
 
 
 def key_blocks(distinct: int, radius: int = RADIUS) -> int:
@@ -108,17 +132,13 @@ def within(vertical: np.ndarray, n: int, probe: int, radius: int = RADIUS) -> np
     return np.flatnonzero(lanes)
 
 
-def _find(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
 def _forest(fp: np.ndarray, radius: int, split: int = 0) -> list[tuple[int, int]]:
-    """Index pairs that span the links among the distinct fingerprints of one key group."""
+    """Index pairs that span the links among the distinct fingerprints of one key group.
+
+    Breadth first: a fingerprint meets only those that no link has reached yet, so tight groups shrink fast.
+    """
     n = len(fp)
-    if n > LARGE_GROUP and split < 2:
+    if n > LARGE_GROUP and split < 2 and radius <= RADIUS:
         # again by pigeonhole, on finer blocks: the pieces overlap, their union loses no link
         found = []
         for mask in masks(radius + 2 + split, radius):
@@ -131,17 +151,29 @@ def _forest(fp: np.ndarray, radius: int, split: int = 0) -> list[tuple[int, int]
                 elif len(own) == n:
                     return _forest(fp, radius, 2)
         return found
-    parent, found = list(range(n)), []
-    block = 1 << 12
-    for low in range(0, n, block):
-        part = fp[low : low + block]
-        vertical = planes(part)
-        for i in range(low, n):
-            for j in within(vertical, len(part), int(fp[i]), radius):
-                j = low + int(j)
-                if j < i and (a := _find(parent, i)) != (b := _find(parent, j)):
-                    parent[max(a, b)] = min(a, b)
-                    found.append((j, i))
+    found = []
+    rest = np.arange(n)
+    packed, lanes = planes(fp), rest  # lanes: what the planes hold; some may be gone from rest
+    queue: list[int] = []
+    alive = np.ones(n, dtype=bool)
+    while len(rest):
+        if not queue:
+            queue.append(int(rest[0]))
+            alive[rest[0]] = False
+            rest = rest[1:]
+        i = queue.pop()
+        if len(rest) <= 512:
+            near = rest[np.bitwise_count(fp[rest] ^ fp[i]) <= radius]
+        else:
+            if 2 * len(rest) < len(lanes):
+                packed, lanes = planes(fp[rest]), rest
+            near = lanes[within(packed, len(lanes), int(fp[i]), radius)]
+            near = near[alive[near]]
+        if len(near):
+            alive[near] = False
+            found += [(i, int(j)) for j in near]
+            queue += near.tolist()
+            rest = rest[alive[rest]]
     return found
 
 
@@ -166,14 +198,17 @@ def _group_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): representatives of linked fingerprints, from ``distinct(fp, rep)``; spans every link."""
-    blocks = key_blocks(distinct.count(), radius)
-    keyed = distinct.select(
-        F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for t, m in enumerate(masks(blocks, radius))])).alias("key"),
-        "fp",
-        "rep",
-    ).select("key.t", "key.k", "fp", "rep")
+def links(distinct: DataFrame, radius: int = RADIUS, marks: DataFrame | None = None) -> DataFrame:
+    """(a, b): representatives of linked fingerprints, from ``distinct(fp, rep)``; spans every link.
+
+    With ``marks`` (fp, bands) only fingerprints that share a band are compared.
+    """
+    if marks is None:
+        blocks = key_blocks(distinct.count(), radius)
+        keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for t, m in enumerate(masks(blocks, radius))])
+        keyed = distinct.select(F.explode(keys).alias("key"), "fp", "rep").select("key.t", "key.k", "fp", "rep")
+    else:
+        keyed = marks.select("fp", F.posexplode("bands").alias("t", "k")).distinct().join(distinct, "fp").select("t", "k", "fp", "rep")
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -203,28 +238,25 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bands: int = 0) -> DataFrame:
     """(doc_id, fp, component_id) for each input row with an id.
 
-    component_id is the smallest doc_id reachable over links of at most ``radius`` bits, itself included.
-    Rows without an id take no part; a repeated id keeps a row for each of its rows; an empty table gives
-    none. Null and empty texts share fingerprint zero and link like any other.
+    component_id is the smallest doc_id reachable over links of at most ``radius`` bits, itself included;
+    with ``bands``, over such links between texts that share a MinHash band. Rows without an id take no
+    part; a repeated id keeps a row for each of its rows; an empty table gives none. Null and empty texts
+    share fingerprint zero and link like any other.
     """
-    marks = materialize(fingerprints(docs.where("doc_id is not null"), shingle), "fingerprints")
+    marks = materialize(fingerprints(docs.where("doc_id is not null"), shingle, bands), "fingerprints")
     distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = links(distinct, radius)
+    found = links(distinct, radius, marks if bands else None)
     # one id can stand on texts of different fingerprints: those fingerprints are reachable from each other
-    found = found.unionByName(marks.join(distinct, "fp").where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b"))
-    label = components(found).withColumnRenamed("id", "rep")
+    several = marks.join(distinct, "fp").where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
+    label = components(found.unionByName(several.select("a", "b"))).withColumnRenamed("id", "rep")
     classes = distinct.join(label, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return marks.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bands: int = 0) -> DataFrame:
     """``docs`` with one document of each group: the smallest id. Rows without an id stay."""
-    found = groups(docs, shingle, radius).where("doc_id <> component_id").select("doc_id").distinct()
+    found = groups(docs, shingle, radius, bands).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)
-
-
-def tables(blocks: int, radius: int = RADIUS) -> int:
-    return comb(blocks, radius)
