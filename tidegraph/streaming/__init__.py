@@ -1,0 +1 @@
+"""Nothing here: the engine's operators have no streaming form to reproduce."""
