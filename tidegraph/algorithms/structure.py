@@ -50,7 +50,7 @@ def k_core(graph: Graph) -> DataFrame:
         if least is None:
             break
         k = max(k, least)
-        for _ in range(2):  # two waves a plan
+        for _ in range(4):  # several waves a plan: fewer jobs, and a wave too many changes nothing
             state = state.withColumn("gone", F.col("alive") & (F.col("core") <= k))
             got = EdgeSet(graph).from_(lambda s: s.gone).messages(state, [Update("core", lambda s, d, w: F.lit(1))])
             lower = F.greatest(F.lit(k), F.col("core") - F.coalesce("_m0", F.lit(0)))
