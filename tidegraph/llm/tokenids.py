@@ -15,6 +15,7 @@ and the sequence. Shards are rows (part, seq) of a Parquet data set, in ascendin
 from __future__ import annotations
 
 import functools
+import gc
 import re
 import struct
 import zlib
@@ -37,8 +38,8 @@ SHARD_TOKENS = 1 << 21
 MIN_PAIRS, MIN_GAIN, ROUND_RULES, BUCKET_BITS = 16, 0.04, 2048, 22
 #: Chunks a task remembers before it starts afresh.
 REMEMBER = 600_000
-#: A word of letters with what may follow it, none of which the tokenizer's splitter ever joins.
-SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s']*)")
+#: Where the tokenizer's splitter always cuts: punctuation (no apostrophe) after a letter.
+AFTER_LETTER = re.compile(r"(?<=[^\W\d_])([^\w\s'])")
 
 
 def repair(seq: np.ndarray, terminals: int, min_pairs: int = MIN_PAIRS) -> tuple[np.ndarray, np.ndarray]:
@@ -183,11 +184,21 @@ class Shard:
         return self._gather(own[a:b])[start - skipped : max(start, stop) - skipped]
 
 
+class _Slots(dict):
+    """Chunk -> slot; a new chunk takes the next slot and is noted for learning."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = slot = len(self)
+        self.new.append(chunk)
+        return slot
+
+
 class _Encoder:
     """Exact ids of whole texts: chunks between blanks are independent under this tokenizer's normalizer
     (blanks are dropped by its splitter and its merges never cross them), so each distinct chunk is encoded
-    once and remembered. A chunk of Latin letters goes to the library's BPE model directly, as its
-    normalizer and splitter would only lower-case it; all others take the whole tokenizer."""
+    once and remembered. Latin-1 texts are lower-cased first and get a blank before punctuation that follows
+    a letter, as the tokenizer itself lower-cases and splits there. A chunk of Latin-1 letters goes to the
+    library's BPE model directly; all others take the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -195,67 +206,63 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.terminals = self.tokenizer.get_vocab_size() + 1
-        self.bytes = {chr(c): ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x250)}
+        self.bytes = {chr(c): ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100)}
         self._reset()
 
     def _reset(self) -> None:
         # slot 0 stands for a document's end; slot k's ids are flat[begin[k] : begin[k] + size[k]]
-        self.slots: dict[str | None, int] = {None: 0}
+        self.slots = _Slots({None: 0})
+        self.slots.new = []
         self.flat, self.size = np.array([END_ID], np.uint32), np.array([1])
         self.begin = np.array([0])
 
-    def _letters(self, word: str) -> list[int]:
-        if not word.isascii():
-            word = "".join(map(self.bytes.get, word, word))
-        return [t.id for t in self.tokenizer.model.tokenize(word)]
-
-    def _learn(self, new: list[str]) -> None:
-        slots = self.slots
-        split, cores, others = [], {}, {}
+    def _learn(self) -> None:
+        new, self.slots.new = self.slots.new, []
+        tokenize, own = self.tokenizer.model.tokenize, self.bytes
+        found: list[list[int] | None] = []
+        others = []
         for chunk in new:
-            m = SIMPLE.fullmatch(chunk)
-            if m and max(chunk) < "\u0250" and "\u0130" not in chunk:
-                core, tail = m[1].lower(), m[2]
-                split.append((chunk, core, tail))
-                if core not in slots:
-                    cores[core] = None
-                if tail and tail not in slots:
-                    others[tail] = None
-            else:
-                others[chunk] = None
-        found = [self._letters(core) for core in cores]
-        found += [x.ids for x in self.tokenizer.encode_batch_fast(list(others), add_special_tokens=False)]
-        first = len(self.size)
-        slots.update(zip((*cores, *others), range(first, first + len(found)), strict=True))
-        for chunk, core, tail in split:
-            if not tail:
-                if chunk != core:
-                    slots[chunk] = slots[core]
+            if chunk.isalpha() and (chunk.isascii() or max(chunk) < "\u0100"):
+                word = chunk.lower()
+                if not word.isascii():
+                    word = "".join(map(own.get, word, word))
+                found.append([t.id for t in tokenize(word)])
             else:
-                slots[chunk] = first + len(found)
-                a, b = slots[core], slots[tail]
-                found.append([*(found[a - first] if a >= first else self._known(a)), *(found[b - first] if b >= first else self._known(b))])
+                others.append((len(found), chunk))
+                found.append(None)
+        encoded = self.tokenizer.encode_batch_fast([c for _, c in others], add_special_tokens=False)
+        for (k, _), x in zip(others, encoded, strict=True):
+            found[k] = x.ids
         self.size = np.concatenate([self.size, np.fromiter(map(len, found), np.int64, len(found))])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32)])
         self.begin = np.cumsum(self.size) - self.size
 
-    def _known(self, slot: int) -> list[int]:
-        at = self.begin[slot]
-        return self.flat[at : at + self.size[slot]].tolist()
+    @staticmethod
+    def _chunks(text: str | None) -> list[str | None]:
+        text = text or ""
+        if "<|" not in text:  # else a special token may be spelled in it
+            try:
+                text.encode("latin-1")
+                text = AFTER_LETTER.sub(r" \1", text.lower())
+            except UnicodeEncodeError:
+                pass
+        chunks: list[str | None] = text.replace("\n", " ").split(" ")
+        chunks.append(None)
+        return chunks
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, each followed by END_ID; number of ids of each text)."""
         if len(self.slots) > REMEMBER:
             self._reset()
-        chunks = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        slots = self.slots
-        new = [c for c in set().union(*chunks) if c not in slots]
-        if new:
-            self._learn(new)
+        chunks = [self._chunks(t) for t in texts]
+        collecting = gc.isenabled()
+        gc.disable()  # many short-lived lists, no cycles
+        which = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(chunks)), np.int64)
+        if self.slots.new:
+            self._learn()
+        if collecting:
+            gc.enable()
         size, begin, flat = self.size, self.begin, self.flat
-        for own in chunks:
-            own.append(None)
-        which = np.fromiter(map(slots.__getitem__, chain.from_iterable(chunks)), np.int64)
         each = size[which]
         stop = np.cumsum(each)
         out = flat[np.repeat(begin[which] - (stop - each), each) + np.arange(int(stop[-1]) if len(stop) else 0)]
