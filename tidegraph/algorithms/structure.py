@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import global_rank, running_sums
@@ -41,46 +41,47 @@ def connected_components_jumping(graph: Graph, hints: Hints = DEFAULT) -> DataFr
 
 
 def k_core(graph: Graph) -> DataFrame:
-    """(id, core): core numbers by peeling in order of degree; symmetric graphs."""
+    """(id, core): core numbers of a symmetric graph.
+
+    Peeling in order of degree takes a round for every wave of removals. The same numbers are the largest
+    fixpoint of: a vertex's number is the h-index of its neighbours' numbers. From the degrees downwards all
+    vertices move at once, so a few rounds do. The h-index comes from counts per (vertex, number), never from
+    a hub's whole list.
+    """
     keep = Rounds()
-    state = keep.keep(graph.out_degrees().select("id", F.col("degree").alias("core"), F.lit(True).alias("alive"), F.lit(False).alias("gone")))
-    k = 0
-    while True:
-        least = state.where("alive").agg(F.min("core")).first()[0]
-        if least is None:
-            break
-        k = max(k, least)
-        for _ in range(4):  # several waves a plan: fewer jobs, and a wave too many changes nothing
-            state = state.withColumn("gone", F.col("alive") & (F.col("core") <= k))
-            got = EdgeSet(graph).from_(lambda s: s.gone).messages(state, [Update("core", lambda s, d, w: F.lit(1))])
-            lower = F.greatest(F.lit(k), F.col("core") - F.coalesce("_m0", F.lit(0)))
-            stays = F.col("alive") & ~F.col("gone")
-            core = F.when(F.col("gone"), F.lit(k)).when(stays, lower).otherwise(F.col("core"))
-            state = state.join(got, "id", "left").select("id", core.cast("long").alias("core"), stays.alias("alive"), "gone")
-        state = keep.keep(state)
+    state = keep.keep(graph.out_degrees().select("id", F.col("degree").alias("core"), F.lit(True).alias("active")))
+    edges = EdgeSet(graph)
+    while not state.where("active").isEmpty():
+        pairs, (value,) = edges.rows(state, lambda s, d, w: F.least(s.core, d.core))
+        counts = pairs.groupBy(F.col("src").alias("id"), value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        upward = Window.partitionBy("id").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
+        own = counts.select("id", F.least("value", F.sum("n").over(upward)).alias("h")).groupBy("id").agg(F.max("h").alias("h"))
+        new = F.coalesce("h", F.lit(0)).cast("long")
+        state = keep.keep(state.join(own, "id", "left").select("id", new.alias("core"), (new != F.col("core")).alias("active")))
     return keep.release(state).select("id", "core")
 
 
-def k_core_unordered(graph: Graph) -> DataFrame:
-    """The same numbers by k = 1, 2, ...: remove all degrees below k until none is left, then go on."""
-    keep = Rounds()
-    state = keep.keep(graph.out_degrees().select("id", "degree", F.lit(0).cast("long").alias("core"), F.lit(True).alias("alive"), F.lit(False).alias("gone")))
+def k_core_unordered(graph: Graph, waves: int = 4) -> DataFrame:
+    """The same numbers by k = 1, 2, ...: remove all degrees below k until none is left, then go on.
+
+    Levels at which nothing would go are skipped, and several waves of removals share a plan.
+    """
+    keep = Rounds(3)
+    state = keep.keep(graph.out_degrees().select("id", "degree", F.lit(0).cast("long").alias("core"), F.lit(True).alias("alive")))
     k = 1
-    while not state.where("alive").isEmpty():
-        state = state.withColumn("gone", F.col("alive") & (F.col("degree") < k))
-        if state.where("gone").isEmpty():
-            k += 1
-            continue
-        got = EdgeSet(graph).from_(lambda s: s.gone).messages(state, [Update("degree", lambda s, d, w: F.lit(1))])
-        state = keep.keep(
-            state.join(got, "id", "left").select(
+    while (least := state.where("alive").agg(F.min("degree")).first()[0]) is not None:
+        k = max(k, least + 1)
+        for _ in range(waves):
+            gone = F.col("alive") & (F.col("degree") < k)
+            state = state.withColumn("gone", gone)
+            got = EdgeSet(graph).from_(lambda s: s.gone).messages(state, [Update("degree", lambda s, d, w: F.lit(1))])
+            state = state.join(got, "id", "left").select(
                 "id",
                 (F.col("degree") - F.coalesce("_m0", F.lit(0))).alias("degree"),
                 F.when(F.col("gone"), F.lit(k - 1)).otherwise(F.col("core")).cast("long").alias("core"),
                 (F.col("alive") & ~F.col("gone")).alias("alive"),
-                F.lit(False).alias("gone"),
             )
-        )
+        state = keep.keep(state)
     return keep.release(state).select("id", "core")
 
 

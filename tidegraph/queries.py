@@ -387,17 +387,12 @@ def triangle_count_by_id(spark, sf):
 
 @query()
 def k_core(spark, sf):
-    return structure.k_core(_light(part_chain(spark, sf, True)))
-
-
-def _light(g: Graph) -> Graph:
-    """The edges of weight 3 and less: a sparse part with some cores."""
-    return Graph(materialize(g.edges.where("weight <= 3"), "light"), g.n, g.undirected)
+    return structure.k_core(part_chain(spark, sf, True))
 
 
 @query()
 def k_core_unordered(spark, sf):
-    return structure.k_core_unordered(_light(part_chain(spark, sf, True)))
+    return structure.k_core_unordered(part_chain(spark, sf, True))
 
 
 @query()
@@ -412,7 +407,7 @@ def minimum_spanning_tree(spark, sf):
 
 @query()
 def set_cover(spark, sf):
-    return structure.set_cover(part_chain(spark, sf, True), 0.5)
+    return structure.set_cover(part_chain(spark, sf, True), 1.0)
 
 
 @query(f"""WITH {PCS}, r AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY (id * 7919) % 1009 DESC, id) - 1 AS rank FROM v),
