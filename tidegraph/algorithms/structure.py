@@ -147,7 +147,7 @@ def set_cover(graph: Graph, epsilon: float = 0.01) -> DataFrame:
     return out
 
 
-#: Edges up to which a spanning tree is grown serially, in the reference order of a heap.
+#: Edges up to which a spanning tree is grown serially, in the order of a heap.
 SERIAL_EDGES = 200_000
 
 
