@@ -37,6 +37,17 @@ CROWD, BATCH_BYTES, BLOCKS_PER_BUCKET = 2048, 1 << 20, 6
 SLICE = 1 << 20
 
 
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """Order by the keys, first one first; small keys are packed into one 64-bit number."""
+    bits = [max(int(k.max(initial=0)).bit_length(), 1) for k in keys]
+    if sum(bits) > 63:
+        return np.lexsort(keys[::-1])
+    packed = keys[0]
+    for k, b in zip(keys[1:], bits[1:], strict=True):
+        packed = (packed << b) | k
+    return np.argsort(packed)
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffix array of non-negative integers by the difference cover {1, 2} modulo 3."""
     n = len(s)
@@ -46,7 +57,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     # sampled suffixes, sorted by their triples; names are ranks of triples
     sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
     middle = len(np.arange(1, n + (n % 3 == 1), 3))
-    order = sample[np.lexsort((s[sample + 2], s[sample + 1], s[sample]))]
+    order = sample[_order(s[sample], s[sample + 1], s[sample + 2])]
     new = np.concatenate([[1], ((s[order[1:]] != s[order[:-1]]) | (s[order[1:] + 1] != s[order[:-1] + 1]) | (s[order[1:] + 2] != s[order[:-1] + 2])).astype(np.int64)])
     name = np.cumsum(new)
     rank = np.zeros(n + 3, np.int64)
@@ -75,7 +86,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
             left = (s[own], s[own + 1], rank[own + 2])
             right = (s[rest], s[rest + 1], rank[rest + 2])
         both = [np.concatenate(x) for x in zip(left, right, strict=True)]
-        mixed = np.lexsort(tuple(both[::-1]))
+        mixed = _order(*both)
         before = np.empty(len(mixed), np.int64)
         before[mixed] = np.cumsum(mixed < len(own))
         place += before[len(own) :]
@@ -100,9 +111,12 @@ def equal_windows(texts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.
     inside = np.arange(len(joined)) - first[text]
     order = suffix_array(joined)
     order = order[inside[order] + length <= size[text[order]]]
-    same = np.flatnonzero(np.ones(max(len(order) - 1, 0), dtype=bool))
-    for k in range(length):
-        same = same[joined[order[same] + k] == joined[order[same + 1] + k]]
+    # eight bytes at a time; the last step overlaps the one before
+    plain = np.concatenate([np.minimum(joined, 255).astype(np.uint8), np.zeros(8, np.uint8)])
+    words = np.ndarray((len(joined),), "<u8", plain.tobytes(), strides=(1,))
+    same = np.arange(max(len(order) - 1, 0))
+    for k in [*range(0, length - 7, 8), max(length - 8, 0)]:
+        same = same[words[order[same] + k] == words[order[same + 1] + k]]
     linked = np.zeros(len(order) + 1, dtype=bool)
     linked[same + 1] = True  # equal to the one before
     member = linked[:-1] | linked[1:]
