@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,32 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+_CLEAR: dict[str, Callable[[], None]] = {}
+_OWNER: list[str] = [""]
+
+
+def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Python workers outlive a stage: when another operator starts in one, what the last remembered goes.
+
+    ``clear`` drops the owner's caches; freed memory goes back to the system.
+    """
+    if clear is not None:
+        _CLEAR[owner] = clear
+    if _OWNER[0] != owner:
+        if _OWNER[0] in _CLEAR:
+            _CLEAR[_OWNER[0]]()
+        _POWERS.clear()
+        _OWNER[0] = owner
+        gc.collect()
+        trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,6 +84,7 @@ def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[tuple[
             stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield ids.slice(start, stop - start), texts.slice(start, stop - start)
             start = stop
+    trim()
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pieces, prefix_hash, raw, span_hash
+from .common import claim, mix64, pieces, prefix_hash, raw, span_hash
 
 MARK = "▁"
 SEED = 20240601
@@ -250,6 +250,7 @@ def encode(docs: DataFrame, model_file: str, ids: bool = True, seed: int = SEED)
     schema = "doc_id long, n_pieces long, ids_crc32 long, lossless boolean" + (", ids array<int>" if ids else "")
 
     def run(batches):
+        claim("sentencepieces", lattices.cache_clear)
         model = lattices(model_file)
         for some, texts in pieces(batches, 1 << 20):
             known = np.array([0 if i is None else (i & (2**64 - 1)) ^ 0x5851F42D4C957F2D for i in some.to_pylist()], np.uint64)

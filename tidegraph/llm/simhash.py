@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .common import id_text, mix64, pieces, raw, words_of
+from .common import claim, id_text, mix64, pieces, raw, words_of
 from .components import components
 
 BITS = 64
@@ -79,7 +79,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, bands: int = 0) -> Dat
     """(doc_id, fp, bands): one row for each input row. Null or empty texts have fingerprint zero."""
 
     def run(batches):
-        for ids, texts in pieces(batches, 1 << 22):
+        claim("simhash")
+        for ids, texts in pieces(batches, 1 << 20):
             hashed = _hashes(texts, shingle)
             fp = _fingerprints(*hashed).view(np.int64)
             keys = _bands(*hashed, bands).view(np.int64)

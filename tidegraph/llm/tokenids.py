@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import scratch_path
-from .common import id_text, pieces
+from .common import claim, id_text, pieces
 
 MAGIC, VERSION = b"TGRP", 1
 END_ID = 2
@@ -283,6 +283,7 @@ def write(docs: DataFrame, tokenizer_file: str, path: str) -> None:
     """
 
     def run(batches):
+        claim("tokenids", encoder.cache_clear)
         coder = encoder(tokenizer_file)
         part, seq = TaskContext.get().partitionId(), 0
         ids, lengths, tokens, held = [], [], [], 0

@@ -13,7 +13,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import id_text, pieces
+from .common import claim, id_text, pieces
 
 WORD_START = "▁"
 #: Words a task remembers before it starts afresh; longer words are counted anew each time.
@@ -113,6 +113,7 @@ def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
     """
 
     def run(batches):
+        claim("wordpiece", automaton.cache_clear)
         counts = _Counts(automaton(model_file))
         for ids, texts in pieces(batches, 1 << 21):
             words, tokens, unknown = [], [], []
