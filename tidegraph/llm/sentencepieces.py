@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, mix64, pieces, prefix_hash, raw, span_hash
+from .common import claim, mix64, pieces, prefix_hash, raw, span_hash, trim
 
 MARK = "▁"
 SEED = 20240601
@@ -29,7 +29,7 @@ SEED = 20240601
 SHARPNESS, RANK_SHIFT = 1.0, 10.0
 BYTE_WEIGHT = -12.0
 #: Lattice edges a task remembers before it starts afresh.
-REMEMBER = 4_000_000
+REMEMBER = 1_200_000
 TABLE_BITS = 20
 
 
@@ -252,7 +252,7 @@ def encode(docs: DataFrame, model_file: str, ids: bool = True, seed: int = SEED)
     def run(batches):
         claim("sentencepieces", lattices.cache_clear)
         model = lattices(model_file)
-        for some, texts in pieces(batches, 1 << 20):
+        for some, texts in pieces(batches, 1 << 19):
             known = np.array([0 if i is None else (i & (2**64 - 1)) ^ 0x5851F42D4C957F2D for i in some.to_pylist()], np.uint64)
             out, count = model.sample(texts.to_pylist(), mix64(known + np.uint64(seed)))
             stop = np.cumsum(count)
@@ -269,6 +269,8 @@ def encode(docs: DataFrame, model_file: str, ids: bool = True, seed: int = SEED)
                 row.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]), pa.int32()), pa.array(out)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(row, names)
+        model.reset()  # idle workers hold no lattices
+        trim()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, schema)
