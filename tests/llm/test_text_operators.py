@@ -170,6 +170,27 @@ def test_quality(spark, none):
     assert quality.classify(df, labels.where("false")).where("not keep").count() == 0
 
 
+def test_quality_of_parts(spark):
+    """Insults inside ordinary prose, and one word said again and again, have an ordinary mean perplexity."""
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("aeiou") + rng.choice("lmnrst") for _ in range(rng.randint(2, 4))) for _ in range(200)]
+    prose = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows = [(i, " ".join(prose(120)), "en", 1, 0) for i in range(400)]
+    for i in range(400, 500):
+        w = prose(120)
+        for _ in range(3):
+            w[rng.randrange(120)] = rng.choice(["tomerosal", "nasilemor"])
+        rows.append((i, " ".join(w), "en", 1, 1))
+    rows += [(i, " ".join(x for x in prose(4) for _ in range(30)), "en", 0, 0) for i in range(500, 600)]
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3], r[4]) for r in rows if r[0] % 2], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality.classify(df, labels).where("keep").collect()}
+    unseen = lambda a, b: {i for i in range(a, b, 2)}
+    assert len(kept & unseen(0, 400)) >= 194
+    assert len(kept & unseen(400, 500)) <= 2 and len(kept & unseen(500, 600)) <= 2
+    assert {r["doc_id"] for r in quality.accept(df, labels).select("doc_id").collect()} == kept
+
+
 def test_model_is_a_distribution():
     rng = np.random.default_rng(0)
     size = quality.ALPHABET
