@@ -191,6 +191,16 @@ def test_quality_of_parts(spark):
     assert {r["doc_id"] for r in quality.accept(df, labels).select("doc_id").collect()} == kept
 
 
+def test_sample_passes_over_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_CHARS", 2000)
+    first = spark.range(20).orderBy(F.xxhash64("id")).first()["id"]
+    df = spark.createDataFrame([(i, "so it goes " * (300 if i == first else 10), "en") for i in range(20)], "doc_id long, text string, lang string")
+    good = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    assert quality.fit(df, good).counts[-1].sum() > 1500
+    with pytest.raises(ValueError):
+        quality.fit(df, good.where(F.col("doc_id") == first))
+
+
 def test_model_is_a_distribution():
     rng = np.random.default_rng(0)
     size = quality.ALPHABET
