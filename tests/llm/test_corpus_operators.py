@@ -183,6 +183,16 @@ def test_elias_fano_and_trie():
     assert trie.following(context)[0].tolist() == own.tolist()
 
 
+def test_quantised_counts_have_no_ceiling():
+    assert len(ngrams.CODES) <= 1 << 16 and (np.diff(ngrams.CODES) > 0).all()
+    counts = np.concatenate([np.arange(2000), *(10**k * np.arange(1, 10) + 7 for k in range(3, 18)), [2**63 - 1]])
+    told = ngrams.CODES[ngrams.quantise(counts)]
+    assert (told[:1025] == counts[:1025]).all() and (told <= counts.astype(float)).all()
+    assert (told >= counts * (1 - 1 / 1000)).all()
+    trie = ngrams.Trie(memoryview(ngrams.Trie.build(np.arange(1, len(counts), dtype=np.uint64), counts[1:])))
+    assert (trie.counts(np.arange(1, len(counts), dtype=np.uint64)) == ngrams.quantise(counts[1:])).all()
+
+
 def test_scores(docs, corpus, none):
     tokens = {i: [*words(t), None] for i, t in corpus}
     single, pair = Counter(), Counter()

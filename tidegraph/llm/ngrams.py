@@ -1,7 +1,7 @@
 """Language-model scoring with a bigram model held as Elias-Fano tries.
 
 Level one of a trie holds the contexts, with monotone pointers into level two, which holds each context's
-successors relative to it; both are Elias-Fano sequences, and every successor carries an 8-bit quantised
+successors relative to it; both are Elias-Fano sequences, and every successor carries a 16-bit quantised
 count from which the smoothed probability follows. Tries are shards by hash: no task holds the whole model.
 Texts travel as compressed blocks: a block names its distinct tokens and bigrams once to the shards, which
 learn from the training texts among them, build their trie, answer every name, and forget; the block then
@@ -9,7 +9,8 @@ scores its texts from the answers. Nothing per token is exchanged one row at a t
 grows with the corpus.
 
 The model: P(w | v) = (q(v, w) + MU * P0(w)) / (c(v) + MU), Dirichlet smoothing of the bigram counts towards
-the base P0(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)). q is the quantised count: exact up to 128, never above it.
+the base P0(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)). q is the quantised count: exact up to
+1024, beyond at most a thousandth below it, whatever the count.
 """
 
 from __future__ import annotations
@@ -31,12 +32,12 @@ MU = 100.0
 END = np.uint64(0x2545F4914F6CDD1D)
 CONTEXT_BITS, SUCCESSOR_BITS = 24, 32
 BLOCKS_PER_BUCKET = 6
-#: Quantised counts: themselves up to 128, then steps of one sixteenth, rounded down.
-CODES = np.concatenate([np.arange(129.0), np.floor(128 * (17 / 16) ** np.arange(1, 127))])
+#: Quantised counts: themselves up to 1024, then steps of 1/1024, rounded down, up to the largest 64-bit count.
+CODES = np.concatenate([np.arange(1025.0), np.floor(1024 * (1025 / 1024) ** np.arange(1, 37_650))])
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
-    return (np.searchsorted(CODES, counts, side="right") - 1).astype(np.uint8)
+    return (np.searchsorted(CODES, counts, side="right") - 1).astype("<u2")
 
 
 class EliasFano:
@@ -116,7 +117,7 @@ class Trie:
         self.contexts, at = EliasFano.view(buffer)
         self.pointers, at = EliasFano.view(buffer, at)
         self.successors, at = EliasFano.view(buffer, at)
-        self.codes = np.frombuffer(buffer, np.uint8, self.successors.n, at)
+        self.codes = np.frombuffer(buffer, "<u2", self.successors.n, at)
 
     @staticmethod
     def build(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -132,7 +133,7 @@ class Trie:
         """Codes of the counts; 0 for an absent bigram. Searches successors relative to their context."""
         keys = np.asarray(keys, np.uint64)
         context = self.contexts.find(keys >> np.uint64(SUCCESSOR_BITS))
-        out = np.zeros(len(keys), np.uint8)
+        out = np.zeros(len(keys), np.uint16)
         known = np.flatnonzero(context >= 0)
         wanted = (context[known].astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | (keys[known] & np.uint64((1 << SUCCESSOR_BITS) - 1))
         at = self.successors.find(wanted)
@@ -143,7 +144,7 @@ class Trie:
         """(successors, codes) of one context, by its pointers."""
         i = int(self.contexts.find(np.array([context], np.uint64))[0])
         if i < 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint16)
         a, b = (int(x) for x in self.pointers.values()[i : i + 2])
         return self.successors.values()[a:b] & np.uint64((1 << SUCCESSOR_BITS) - 1), self.codes[a:b]
 
