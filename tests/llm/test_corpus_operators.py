@@ -89,6 +89,29 @@ def test_wide_radius_finds_similar_texts(spark):
     assert sum(got[b] == a for a, b in pairs) >= 39 and all(got[a] == a for a, _ in pairs)
 
 
+def test_near_duplicates_are_those_of_similarity(spark):
+    """Against brute force, with pairs on both sides of 0.8, chains, copies, repeated shingles and empty texts."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        w = [str(rng.randrange(10**5)) for _ in range(rng.choice([3, 5, 9, 40, 150]))] * (1 + k % 3 // 2)
+        for _ in range(rng.randint(1, 5)):
+            rows.append((len(rows), " ".join(w)))
+            for _ in range(rng.randint(0, max(1, len(w) // 25))):
+                w[rng.randrange(len(w))] = str(rng.randrange(10**5))
+    rows += [(len(rows), ""), (len(rows) + 1, None), (len(rows) + 2, rows[0][1])]
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        sets[i] = {b" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    share = {(a, b): len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) for a in sets for b in sets}
+    assert sum(0.6 <= x < 0.8 for x in share.values()) > 20 and sum(0.8 <= x < 1 for x in share.values()) > 20
+    want = classes(sorted(sets), lambda a, b: share[a, b] >= 0.8 or not sets[a] | sets[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.groups(df, 5, simhash.WIDE_RADIUS, simhash.BANDS).collect()} == want
+    assert {r["doc_id"] for r in simhash.deduplicate(df, 5, simhash.WIDE_RADIUS, simhash.BANDS).collect()} == set(want.values())
+
+
 def test_large_key_groups(monkeypatch):
     monkeypatch.setattr(simhash, "LARGE_GROUP", 100)
     rng = np.random.default_rng(0)

@@ -7,7 +7,9 @@ a block of candidates is abandoned once every lane exceeds the radius. Each key
 forest of its links, not its pairs.
 
 Pigeonhole keys grow too many beyond a few bits. For a wide radius (copies with edits, similarity 0.8) the
-candidates come from MinHash bands of the same shingles instead, and the same bit-sliced comparison decides.
+candidates come from MinHash bands of the same shingles instead, and the same bit-sliced comparison drops
+chance meetings. They decide nothing: the members of a component of candidates are compared by their shingle
+sets, and only pairs of Jaccard similarity 0.8 or more are links.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ SEED = 42
 SMALL_GROUP = 24
 #: A larger key group is split again on its remaining bits.
 LARGE_GROUP = 1 << 14
-#: Similar texts: distance that nearly all pairs of similarity 0.8 keep to (10 bits on average, deviation 3),
-#: and MinHash bands that miss fewer than two in a thousand of them.
-WIDE_RADIUS, BANDS, BAND_ROWS = 15, 12, 4
+#: Candidates of similar texts: pairs of similarity 0.8 are 10 bits apart on average (deviation 3), so none is
+#: beyond the radius, and the MinHash bands miss three in a million of them.
+WIDE_RADIUS, BANDS, BAND_ROWS = 31, 24, 4
 
 
 def _hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,6 +54,26 @@ def _hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.n
     return np.fromiter((digest(body[a:b], SEED) for a, b in cut), np.uint64, len(word)), first, each
 
 
+def _distinct(hashes: np.ndarray, first: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with each text's shingle hashes sorted and without repeats."""
+    text = np.repeat(np.arange(len(each)), each)
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    each = np.bincount(text[new], minlength=len(each))
+    return hashes[new], np.concatenate([[0], np.cumsum(each)]), each
+
+
+def _set_marks(hashes: np.ndarray, first: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each text's set of shingles; zero for none."""
+    full = np.flatnonzero(each)
+    out = np.zeros(len(each), np.uint64)
+    if len(full):
+        out[full] = mix64(np.add.reduceat(mix64(hashes), first[full]) + each[full].astype(np.uint64))
+    return out
+
+
 def _fingerprints(hashes: np.ndarray, first: np.ndarray, each: np.ndarray) -> np.ndarray:
     out = np.zeros(len(each), np.uint64)
     full = np.flatnonzero(each)
@@ -75,19 +97,30 @@ def _bands(hashes: np.ndarray, first: np.ndarray, each: np.ndarray, bands: int)
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, bands: int = 0) -> DataFrame:
-    """(doc_id, fp, bands): one row for each input row. Null or empty texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp): one row for each input row. Null or empty texts have fingerprint zero."""
+
+    def run(batches):
+        claim("simhash")
+        for ids, texts in pieces(batches, 1 << 20):
+            fp = _fingerprints(*_hashes(texts, shingle)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(fp)], ["doc_id", "fp"])
+
+    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
+
+
+def sketches(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
+    """(doc_id, fp, mark, bands) over the sets of shingles: one row for each input row. Equal sets have equal marks."""
 
     def run(batches):
         claim("simhash")
         for ids, texts in pieces(batches, 1 << 20):
-            hashed = _hashes(texts, shingle)
-            fp = _fingerprints(*hashed).view(np.int64)
+            hashed = _distinct(*_hashes(texts, shingle))
             keys = _bands(*hashed, bands).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(fp), lists], ["doc_id", "fp", "bands"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(_fingerprints(*hashed).view(np.int64)), pa.array(_set_marks(*hashed).view(np.int64)), lists], ["doc_id", "fp", "mark", "bands"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long, bands array<long>")
+    return id_text(docs).mapInArrow(run, "doc_id long, fp long, mark long, bands array<long>")
 
 
 def key_blocks(distinct: int, radius: int = RADIUS) -> int:
@@ -199,17 +232,17 @@ def _group_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, marks: DataFrame | None = None) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, banded: bool = False) -> DataFrame:
     """(a, b): representatives of linked fingerprints, from ``distinct(fp, rep)``; spans every link.
 
-    With ``marks`` (fp, bands) only fingerprints that share a band are compared.
+    If ``banded``, only those that share one of their ``bands`` are compared.
     """
-    if marks is None:
+    if banded:
+        keyed = distinct.select(F.posexplode("bands").alias("t", "k"), "fp", "rep")
+    else:
         blocks = key_blocks(distinct.count(), radius)
         keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for t, m in enumerate(masks(blocks, radius))])
         keyed = distinct.select(F.explode(keys).alias("key"), "fp", "rep").select("key.t", "key.k", "fp", "rep")
-    else:
-        keyed = marks.select("fp", F.posexplode("bands").alias("t", "k")).distinct().join(distinct, "fp").select("t", "k", "fp", "rep")
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -239,22 +272,108 @@ def links(distinct: DataFrame, radius: int = RADIUS, marks: DataFrame | None = N
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Index pairs that span the links of similarity 0.8 among sorted sets; exact.
+
+    Breadth first, like ``_forest``; a set meets only those that share an element with it, by an index that is
+    made anew when half of its sets have been reached.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    keys, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, edge = np.repeat(np.arange(len(sets)), size), np.concatenate([[0], np.cumsum(size)])
+    alive = np.ones(len(sets), dtype=bool)
+    post, begin, held = owner, edge, 0
+    found, queue, seed, left = [], [], 0, len(sets)
+    while left:
+        if not queue:
+            while not alive[seed]:
+                seed += 1
+            alive[seed] = False
+            queue.append(seed)
+            left -= 1
+        i = queue.pop()
+        if 2 * left < held or not held:
+            rows = np.flatnonzero(alive[owner])
+            post = owner[rows[np.argsort(code[rows], kind="stable")]]
+            begin = np.concatenate([[0], np.cumsum(np.bincount(code[rows], minlength=len(keys)))])
+            held = max(left, 1)
+        own = code[edge[i] : edge[i + 1]]
+        start, many = begin[own], begin[own + 1] - begin[own]
+        at = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        met, shared = np.unique(post[at], return_counts=True)
+        # shared / (size + size - shared) >= 4 / 5
+        near = met[(9 * shared >= 4 * (size[met] + size[i])) & alive[met]]
+        alive[near] = False
+        left -= len(near)
+        found += [(i, int(j)) for j in near]
+        queue += near.tolist()
+    return found
+
+
+def _verified(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, shingle: int) -> DataFrame:
+    """(a, b): representatives of texts of similarity 0.8, spanning all such links within a component of candidates."""
+    members = distinct.join(candidates.withColumnRenamed("id", "rep"), "rep").select(F.col("rep").alias("doc_id"), "mark", "component")
+
+    def hashed(batches):
+        claim("simhash")
+        for batch in batches:
+            at = 0
+            for ids, texts in pieces(iter([batch.select(["doc_id", "text"])]), 1 << 20):
+                rest = batch.slice(at, len(ids))
+                at += len(ids)
+                sets = _distinct(*_hashes(texts, shingle))
+                # an id can stand on several texts
+                same = pa.array(_set_marks(*sets).view(np.int64) == rest.column("mark").to_numpy(zero_copy_only=False))
+                lists = pa.ListArray.from_arrays(pa.array(sets[1], pa.int32()), pa.array(sets[0].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([rest.column("component"), ids, lists], ["component", "rep", "shingles"]).filter(same)
+
+    def run(batches):
+        claim("simhash")
+        component, reps, sets = None, [], []
+
+        def told():
+            pairs = _alike(sets) if len(sets) > 1 else []
+            yield pa.RecordBatch.from_arrays([pa.array([reps[i] for i, _ in pairs], pa.int64()), pa.array([reps[j] for _, j in pairs], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            lists = batch.column(2)
+            edge, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            for k, (own, rep) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if own != component:
+                    yield from told()
+                    component, reps, sets = own, [], []
+                reps.append(rep)
+                sets.append(flat[edge[k] : edge[k + 1]])
+        yield from told()
+
+    texts = id_text(docs).join(members, "doc_id").select("doc_id", "text", "mark", "component")
+    dealt = texts.mapInArrow(hashed, "component long, rep long, shingles array<long>").repartition("component").sortWithinPartitions("component", "rep")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bands: int = 0) -> DataFrame:
     """(doc_id, fp, component_id) for each input row with an id.
 
     component_id is the smallest doc_id reachable over links of at most ``radius`` bits, itself included;
-    with ``bands``, over such links between texts that share a MinHash band. Rows without an id take no
-    part; a repeated id keeps a row for each of its rows; an empty table gives none. Null and empty texts
-    share fingerprint zero and link like any other.
+    with ``bands``, over links of texts whose sets of shingles have Jaccard similarity 0.8 or more. Rows without
+    an id take no part; a repeated id keeps a row for each of its rows; an empty table gives none. Null and
+    empty texts share fingerprint zero and link like any other; with ``bands``, only with each other.
     """
-    marks = materialize(fingerprints(docs.where("doc_id is not null"), shingle, bands), "fingerprints")
-    distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = links(distinct, radius, marks if bands else None)
+    known = docs.where("doc_id is not null")
+    if bands:
+        key, marks = "mark", materialize(sketches(known, shingle, bands), "sketches")
+        distinct = materialize(marks.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
+        found = _verified(known, distinct, components(links(distinct, radius, True)), shingle)
+    else:
+        key, marks = "fp", materialize(fingerprints(known, shingle), "fingerprints")
+        distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+        found = links(distinct, radius)
     # one id can stand on texts of different fingerprints: those fingerprints are reachable from each other
-    several = marks.join(distinct, "fp").where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
+    own = distinct.select(key, "rep")
+    several = marks.join(own, key).where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     label = components(found.unionByName(several.select("a", "b"))).withColumnRenamed("id", "rep")
-    classes = distinct.join(label, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marks.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = own.join(label, "rep", "left").select(key, F.coalesce("component", "rep").alias("component_id"))
+    return marks.join(classes, key).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bands: int = 0) -> DataFrame:
