@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -54,13 +55,20 @@ def test_encoder_is_the_tokenizer():
     rng = random.Random(2)
     letters = "abcXYZ éÉßøÅ.,!?'_-$# \n\t0123½²ªº<|>µ€漢Σς́\x1c\x85İ"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    letters = letters.replace("漢Σς́İ", "").replace("µ€", "µ")
+    texts += ["".join(c for c in t if c < "\u0100") for t in texts] + ["long" * 100 + ", x", "Ünï," * 90]
     texts += ["<|endoftext|> a<|ENDOFTEXT|>b", "it's DON'T we've.'s x's, y'.s", "", None]
     coder = tokenids.encoder(WORDS)
-    out, size = coder.encode(texts)
+    assert coder.by_chunk
+    out, size = coder.encode(pa.array(texts, pa.string()))
     at = 0
     for t, n in zip(texts, size.tolist(), strict=True):
         assert out[at : at + n].tolist() == [*coder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2], t
         at += n
+    coder.by_chunk = False  # any other tokenizer encodes whole texts
+    whole, each = coder.encode(pa.array(texts, pa.string()))
+    coder.by_chunk = True
+    assert whole.tolist() == out.tolist() and each.tolist() == size.tolist()
 
 
 def test_repair_shard():
@@ -80,6 +88,41 @@ def test_repair_shard():
         tokenids.Shard(b"nope")
 
 
+def test_repair_runs_to_its_end():
+    rng = np.random.default_rng(1)
+    cases = [rng.integers(0, 5, 4000), np.zeros(5000, np.int64), np.tile(rng.integers(0, 7, 40), 50), np.repeat(rng.integers(0, 4, 500), rng.integers(1, 9, 500)), np.zeros(0, np.int64), np.array([3])]
+    for tokens in cases:
+        tokens = np.where(rng.random(len(tokens)) < 0.01, 9, tokens).astype(np.uint32)
+        seq, rules = tokenids.repair(tokens, 10)
+        out, pairs = [], [(int(a), int(b)) for a, b in rules]
+
+        def expand(x, pairs=pairs):
+            return [x] if x < 10 else expand(pairs[x - 10][0]) + expand(pairs[x - 10][1])
+
+        for x in seq.tolist():
+            out += expand(x)
+        assert out == tokens.tolist() and all(9 not in p for p in pairs)
+        left, k = {}, 0
+        while k + 1 < len(seq):  # no pair is left that occurs often enough, without overlaps
+            p = (int(seq[k]), int(seq[k + 1]))
+            left.setdefault(p, []).append(k)
+            k += 1
+        for p, at in left.items():
+            if 9 not in p:
+                n, last = 0, -2
+                for i in at:
+                    if p[0] != p[1] or i > last + 1:
+                        n, last = n + 1, i
+                assert n < tokenids.MIN_PAIRS
+
+
+def test_documents_by_id(spark, docs, corpus, tmp_path):
+    path, tok = f"file://{tmp_path}/ids", Tokenizer.from_file(WORDS)
+    tokenids.write(docs, WORDS, path)
+    want = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t in corpus if i in (0, 9, 1000, 1004)}
+    assert {r["doc_id"]: r["ids"] for r in tokenids.documents(spark, path, [0, 9, 1000, 1004, 77]).collect()} == want
+
+
 def test_pieces_are_lossless(docs, corpus, none, spark):
     got = sentencepieces.encode(docs, PIECES)
     rows = {r["doc_id"]: r for r in got.collect()}
