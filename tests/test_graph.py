@@ -20,6 +20,7 @@ from tidegraph.plans.loop import Rounds
 from tidegraph.runtime import materialize
 from tidegraph.sources import readers, writers
 
+# fixed values: a small graph; the expected values below belong to it
 SMALL = [(3, 4), (4, 2), (1, 2), (1, 3), (1, 4), (2, 3), (2, 4)]
 WEIGHTED = [(s, d, i + 1) for i, (s, d) in enumerate(SMALL)]
 
@@ -186,13 +187,19 @@ def test_set_cover(spark):
 
 
 def test_spanning_trees(spark):
-    ring = Graph.from_pairs(spark, [(1, 2, 1), (2, 3, 1), (3, 4, 1), (4, 5, 1), (1, 5, 3)])
+    # fixed values: edges and parents
+    ring = Graph.from_pairs(spark, [(1, 2, 1), (2, 3, 1), (3, 4, 1), (4, 5, 1), (1, 5, 3)], symmetrize=True)
     want = [(0, -1), (1, 1), (2, 1), (3, 2), (4, 3), (5, 4)]
     assert rows(structure.minimum_spanning_tree(ring, 1)) == want
     assert rows(structure.minimum_spanning_tree(ring, 1, serial_edges=0)) == want
     other = Graph.from_pairs(spark, [(3, 4, 1), (4, 2, 2), (1, 2, 3), (1, 3, 4), (1, 4, 6), (2, 3, 6), (2, 4, 7), (2, 5, 4), (5, 6, 1)])
     parent = dict(rows(structure.minimum_spanning_tree(other, 1)))
     assert (parent[2], parent[3], parent[4]) == (1, 1, 3)
+    with pytest.raises(ValueError):
+        structure.minimum_spanning_tree(other, 1, serial_edges=3)
+    rng = random.Random(6)  # with many ties both ways still give one tree
+    tied = Graph.from_pairs(spark, [(rng.randrange(25), rng.randrange(25), rng.randint(1, 3)) for _ in range(90)], symmetrize=True)
+    assert rows(structure.minimum_spanning_tree(tied, 0)) == rows(structure.minimum_spanning_tree(tied, 0, serial_edges=0))
 
 
 def test_priority_queue(spark):
@@ -246,10 +253,60 @@ def test_formats(spark, tmp_path):
     assert read(f"file://{tmp_path}/out.wel") == rows(g.edges)
 
 
-def test_rounds_cut_lineage(spark):
-    keep = Rounds(cut_every=2)
+def test_rounds_bound_the_plan(spark):
+    """A round that reads its state four times leaves a plan of one scan, and figures come with the write."""
+    keep = Rounds()
     df = spark.range(3)
-    for _ in range(4):
-        df = keep.keep(df.select((F.col("id") + 1).alias("id")))
-    assert rows(keep.release(df)) == [(4,), (5,), (6,)]
+    for _ in range(6):
+        step = df.join(df.groupBy("id").count(), "id").join(df.select("id").distinct(), "id").join(df.withColumnRenamed("id", "x"), F.col("x") == F.col("id"))
+        df = keep.keep(step.select((F.col("id") + 1).alias("id")), rows=F.count(F.lit(1)), top=F.max("id"))
+        assert len(df._jdf.queryExecution().analyzed().toString().splitlines()) == 1
+    assert keep.figures == {"rows": 3, "top": 8}
+    assert rows(keep.release(df)) == [(6,), (7,), (8,)]
     assert rows(materialize(spark.range(2))) == [(0,), (1,)]
+
+
+def test_cores_sets_and_covers(spark):
+    """Against serial restatements, on a graph with a hub, a clique and a path."""
+    rng = random.Random(8)
+    pairs = [(a, b) for a in range(6) for b in range(a)] + [(10 + k, 11 + k) for k in range(8)] + [(20, k) for k in range(20)] + [(rng.randrange(30), rng.randrange(30)) for _ in range(40)]
+    g = Graph.from_pairs(spark, pairs, symmetrize=True)
+    near = {v: set() for v in range(g.n)}
+    for s, d in rows(g.edges):
+        near[s].add(d)
+    core, left, k = {}, {v: set(x) for v, x in near.items()}, 0
+    while left:
+        v = min(left, key=lambda x: len(left[x]))
+        k = max(k, len(left[v]))
+        core[v] = k
+        for x in left.pop(v):
+            left[x].discard(v)
+    assert dict(rows(structure.k_core(g))) == core == dict(rows(structure.k_core_unordered(g)))
+    chosen = set()
+    for v in sorted(near, key=lambda x: ((x * 7919) % 31, x)):
+        if not near[v] & chosen:
+            chosen.add(v)
+    assert {i for i, c in rows(structure.maximal_independent_set(g, priority=(F.col("id") * 7919) % 31)) if c} == chosen
+    cover = {i for (i,) in rows(structure.set_cover(g))}
+    assert set().union(*(near[v] for v in cover)) == {v for v in near if near[v]}
+
+
+def test_laid_out_edges_stay_where_they_are(spark):
+    g = Graph(spark.range(2000).select(F.col("id").alias("src"), (F.col("id") * 7 % 2000).alias("dst")), 2000).laid_out()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        state = materialize(g.state(x=F.col("id")))
+        plan = EdgeSet(g).messages(state, [Update("x", lambda s, d, w: s.x)])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # one exchange for the state, one for the combined messages, none for the edges
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_hybrid_directions():
+    hybrid = Hints(direction="SparsePush-DensePull")
+    assert hybrid.sparse(1, 1000) and not hybrid.sparse(900, 1000)
+    other = Hints(direction="DensePull-SparsePush")
+    assert other.sparse(1, 1000) and not other.sparse(900, 1000)
+    assert Hints().sparse(900, 1000) and not Hints(direction="DensePull").sparse(1, 1000)

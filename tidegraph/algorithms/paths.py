@@ -11,25 +11,19 @@ from ..operators.edges import EdgeSet, Update
 from ..operators.ordered import PriorityQueue
 from ..plans.hints import DEFAULT, Hints
 from ..plans.loop import Rounds
-
-
-def _active(edges: EdgeSet, state: DataFrame) -> EdgeSet:
-    """The frontier as a set to look up (push) or as a flag of the state (pull)."""
-    if "Push" in edges.hints.direction.split("-")[0]:
-        return edges.from_(state.where("active").select("id"))
-    return edges.from_(lambda s: s.active)
+from ..runtime import discard, materialize
 
 
 def bfs(graph: Graph, root: int, hints: Hints = DEFAULT) -> DataFrame:
     """(id, parent, depth): the smallest possible parent; -1 where unreached; the root is its own."""
     at_root = F.col("id") == root
     state = graph.vertices().select("id", F.when(at_root, F.lit(root)).otherwise(-1).cast("long").alias("parent"), F.when(at_root, 0).otherwise(-1).alias("depth"), at_root.alias("active"))
-    edges, keep = EdgeSet(graph, hints), Rounds()
-    state, depth = keep.keep(state), 0
-    while not state.where("active").isEmpty():
+    edges, keep, active = EdgeSet(graph.laid_out(), hints), Rounds(), F.count_if("active")
+    state, depth = keep.keep(state, active=active), 0
+    while keep.figures["active"]:
         depth += 1
-        after = _active(edges, state).to(lambda d: d.parent == -1).apply_modified(state, [Update("parent", lambda s, d, w: s.id, "set")], "parent")
-        state = keep.keep(after.withColumn("depth", F.when(F.col("active"), depth).otherwise(F.col("depth"))))
+        after = edges.frontier(keep.figures["active"]).apply_modified(state, [Update("parent", lambda s, d, w: s.id, "set")], "parent", unset=F.col("parent") == -1)
+        state = keep.keep(after.withColumn("depth", F.when(F.col("active"), depth).otherwise(F.col("depth"))), active=active)
     return keep.release(state).drop("active")
 
 
@@ -39,30 +33,25 @@ def _distances(graph: Graph, root: int) -> DataFrame:
 
 def bellman_ford(graph: Graph, root: int, hints: Hints = DEFAULT) -> tuple[DataFrame, bool]:
     """((id, dist), whether a negative cycle was met): unreachable vertices have 2147483647."""
-    edges, keep = EdgeSet(graph, hints), Rounds()
-    state, rounds, n = keep.keep(_distances(graph, root)), 0, graph.n
-    while not state.where("active").isEmpty():
-        state = keep.keep(_active(edges, state).apply_modified(state, [Update("dist", lambda s, d, w: s.dist + w, "min")], "dist"))
+    edges, keep, active = EdgeSet(graph.laid_out(), hints), Rounds(), F.count_if("active")
+    state, rounds, n = keep.keep(_distances(graph, root), active=active), 0, graph.n
+    while keep.figures["active"] and rounds < n:
+        after = edges.frontier(keep.figures["active"]).apply_modified(state, [Update("dist", lambda s, d, w: s.dist + w, "min")], "dist")
+        state = keep.keep(after, active=active)
         rounds += 1
-        if rounds == n:
-            return keep.release(state).drop("active"), not state.where("active").isEmpty()
-    return keep.release(state).drop("active"), False
+    return keep.release(state).drop("active"), bool(keep.figures["active"])
 
 
 def delta_stepping(graph: Graph, root: int, delta: int = 1, hints: Hints = DEFAULT) -> DataFrame:
     """(id, dist): shortest distances, bucket by bucket of width delta (1: weighted breadth-first search)."""
     queue = PriorityQueue(_distances(graph, root).drop("active"), "dist", max(delta, hints.delta), start=root)
-    return queue.process(EdgeSet(graph, hints), Update("dist", lambda s, d, w: s.dist + w, "min")).drop("dirty")
-
-
-def weighted_bfs(graph: Graph, root: int) -> DataFrame:
-    return delta_stepping(graph, root, 1)
+    return queue.process(EdgeSet(graph.laid_out(), hints), Update("dist", lambda s, d, w: s.dist + w, "min")).drop("dirty")
 
 
 def point_to_point(graph: Graph, source: int, target: int, delta: int = 1) -> int:
     """Shortest distance between two vertices; stops as soon as it is settled."""
-    queue = PriorityQueue(_distances(graph, source).drop("active"), "dist", delta, start=source)
-    state = queue.process(EdgeSet(graph), Update("dist", lambda s, d, w: s.dist + w, "min"), stop=lambda q: q.finished_node(target))
+    queue = PriorityQueue(_distances(graph, source).drop("active"), "dist", delta, start=source, watch=target)
+    state = queue.process(EdgeSet(graph.laid_out()), Update("dist", lambda s, d, w: s.dist + w, "min"), stop=lambda q: q.finished_node(target))
     return state.where(F.col("id") == target).first()["dist"]
 
 
@@ -73,14 +62,13 @@ def a_star(graph: Graph, coordinates: DataFrame, source: int, target: int, delta
     state = graph.vertices().join(coordinates, "id", "left").withColumn("h", F.coalesce(guess, F.lit(0))).drop("lat", "lon")
     at = F.col("id") == source
     state = state.withColumns({"f": F.when(at, 0).otherwise(INT_MAX).cast("long"), "g": F.when(at, F.col("h")).otherwise(INT_MAX).cast("long")})
-    queue = PriorityQueue(state, "g", delta, start=source)
-    edges = EdgeSet(graph)
+    queue = PriorityQueue(state, "g", delta, start=source, watch=target)
+    edges = EdgeSet(graph.laid_out())
     while not queue.finished_node(target):
-        ready = queue.dequeue_ready_set()
-        if ready is None:
+        if queue.dequeue_ready_set() is None:
             break
-        step = queue.state.withColumn("ready", F.col("dirty") & (F.col("g") != INT_MAX) & (queue.bucket() == queue.current))
-        got = edges.from_(lambda s: s.ready).messages(step, [Update("f", lambda s, d, w: s.f + w, "min"), Update("g", lambda s, d, w: s.g, "min")])
+        step = queue.state.withColumn("ready", queue.ready())
+        got = edges.frontier(queue.rounds.figures["waiting"], "ready").messages(step, [Update("f", lambda s, d, w: s.f + w, "min"), Update("g", lambda s, d, w: s.g, "min")])
         joined = step.join(got, "id", "left")
         better = F.coalesce(F.col("_m0") < F.col("f"), F.lit(False))
         priority = F.least(F.col("g"), maximum(F.col("_m0") + F.col("h"), F.col("_m1")).cast("long"))
@@ -96,20 +84,20 @@ def multi_source_depths(graph: Graph, sources: list[int]) -> DataFrame:
     spark = graph.spark
     front = spark.createDataFrame([(s, s) for s in sources], "run long, id long").withColumn("depth", F.lit(0))
     keep, depth = Rounds(), 0
-    seen = keep.keep(front)
-    while True:
+    edge = graph.laid_out().edges.select(F.col("src").alias("id"), "dst")
+    seen = keep.keep(front, active=F.count_if(F.col("depth") == depth))
+    while keep.figures["active"]:
         depth += 1
-        edge = graph.edges.select(F.col("src").alias("id"), "dst")
         step = seen.where(F.col("depth") == depth - 1).join(edge, "id").select("run", F.col("dst").alias("id")).distinct().withColumn("depth", F.lit(depth))
-        after = keep.keep(seen.unionByName(step).groupBy("run", "id").agg(F.min("depth").alias("depth")))
-        if after.where(F.col("depth") == depth).isEmpty():
-            return keep.release(after)
-        seen = after
+        seen = keep.keep(seen.unionByName(step).groupBy("run", "id").agg(F.min("depth").alias("depth")), active=F.count_if(F.col("depth") == depth))
+    return keep.release(seen)
+
 
+def closeness(graph: Graph, sources: list[int]) -> DataFrame:
+    """(id, score): for each source the sum of hop distances to all reached vertices; unreached ones count 0.
 
-def closeness(graph: Graph, sources: list[int] | None = None) -> DataFrame:
-    """(id, score): sum of hop distances to all reached vertices; unreached ones count 0."""
-    sources = list(range(graph.n)) if sources is None else sources
+    The state has a row for each source and vertex reached from it, so the sources are the caller's to choose.
+    """
     return multi_source_depths(graph, sources).groupBy(F.col("run").alias("id")).agg(F.sum("depth").cast("long").alias("score"))
 
 
@@ -128,8 +116,7 @@ def betweenness(graph: Graph, sources: list[int], normalize: bool = False) -> Da
     deepest = depth.agg(F.max("depth")).first()[0] or 0
     edges = graph.edges.select("src", "dst").join(depth.select("run", F.col("id").alias("src"), F.col("depth").alias("_d")), "src")
     levels = edges.join(depth.select("run", F.col("id").alias("dst"), F.col("depth").alias("_e")), ["run", "dst"]).where("_e = _d + 1").select("run", "src", "dst", "_d")
-    keep = Rounds()
-    levels = keep.keep(levels)
+    levels = materialize(levels, "levels")
     hold = Rounds()
     state = hold.keep(depth.withColumn("paths", F.when(F.col("depth") == 0, 1.0).otherwise(0.0)).withColumn("dep", F.lit(0.0)))
     for d in range(deepest):
@@ -141,8 +128,9 @@ def betweenness(graph: Graph, sources: list[int], normalize: bool = False) -> Da
         state = hold.keep(state.join(sums, ["run", "id"], "left").withColumn("dep", F.col("dep") + F.coalesce("_m", F.lit(0.0))).drop("_m"))
     own = state.groupBy("id").agg(F.sum((F.col("dep") - 1.0 / F.col("paths")) * F.col("paths")).alias("score"))
     out = graph.vertices().join(own, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    out = hold.release(out)
-    keep.release()
+    out = materialize(out, "scores")
+    hold.release()
+    discard(levels)
     if normalize:
         top = out.agg(F.max("score")).first()[0] or 1.0
         out = out.withColumn("score", F.col("score") / top)

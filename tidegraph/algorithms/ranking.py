@@ -17,7 +17,7 @@ def pagerank(graph: Graph, rounds: int = 20, damping: float = 0.85, hints: Hints
     n = max(graph.n, 1)
     base = (1.0 - damping) / n
     state = graph.out_degrees().select("id", "degree", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("error"))
-    edges = EdgeSet(graph, hints)
+    edges = EdgeSet(graph.laid_out(), hints)
 
     def step(state: DataFrame, _: int) -> DataFrame:
         got = edges.messages(state, [Update("rank", lambda s, d, w: s.rank / s.degree)])
@@ -30,31 +30,31 @@ def pagerank(graph: Graph, rounds: int = 20, damping: float = 0.85, hints: Hints
 def pagerank_delta(graph: Graph, rounds: int = 10, damping: float = 0.85, epsilon: float = 0.1, trace: list | None = None) -> DataFrame:
     """(id, rank, delta, active): only vertices whose change exceeds epsilon times their rank send on.
 
-    ``trace`` collects (frontier size, sum of |delta|) of each round, at the price of an action.
+    ``trace`` collects (frontier size, sum of |delta|) of each round.
     """
     n = max(graph.n, 1)
     base = (1.0 - damping) / n
     state = graph.out_degrees().select("id", "degree", F.lit(0.0).alias("rank"), F.lit(1.0 / n).alias("delta"), F.lit(True).alias("active"))
     keep = Rounds()
-    edges = EdgeSet(graph)
+    edges = EdgeSet(graph.laid_out())
     for i in range(1, rounds + 1):
-        got = edges.from_(lambda s: s.active).messages(state, [Update("_", lambda s, d, w: s.delta / s.degree)])
+        got = edges.frontier(keep.figures["active"] if i > 1 else n).messages(state, [Update("_", lambda s, d, w: s.delta / s.degree)])
         joined = state.join(got, "id", "left").withColumn("_sum", F.coalesce("_m0", F.lit(0.0))).drop("_m0")
         if i == 1:
             whole = F.col("_sum") * damping + base
             joined = joined.withColumns({"rank": F.col("rank") + whole, "delta": whole - 1.0 / n})
         else:
             joined = joined.withColumns({"rank": F.col("rank") + F.col("_sum") * damping, "delta": F.col("_sum") * damping})
-        state = keep.keep(where_update(joined.drop("_sum"), {}, F.abs("delta") > epsilon * F.col("rank")))
+        state = keep.keep(where_update(joined.drop("_sum"), {}, F.abs("delta") > epsilon * F.col("rank")), active=F.count_if("active"), change=F.sum(F.abs("delta")))
         if trace is not None:
-            trace.append(tuple(state.agg(F.sum(F.col("active").cast("int")), F.sum(F.abs("delta"))).first()))
+            trace.append((keep.figures["active"], keep.figures["change"]))
     return keep.release(state).drop("degree")
 
 
 def eigenvector_centrality(graph: Graph, rounds: int = 9) -> DataFrame:
     """(id, score, error): unnormalised power iteration."""
     state = graph.state(score=1.0 / max(graph.n, 1), error=0.0)
-    edges = EdgeSet(graph)
+    edges = EdgeSet(graph.laid_out())
 
     def step(state: DataFrame, _: int) -> DataFrame:
         got = edges.messages(state, [Update("score", lambda s, d, w: s.score)])
@@ -72,10 +72,10 @@ def spmv(graph: Graph, vector: DataFrame) -> DataFrame:
 
 def collaborative_filtering(graph: Graph, k: int = 20, step: float = 3.5e-7, decay: float = 0.001, rounds: int = 10, start: float = 0.5) -> DataFrame:
     """(id, latent): gradient descent on ratings (edge weights); errors gather on destinations alone."""
-    state = graph.vertices().select("id", F.array_repeat(F.lit(start), k).alias("latent"))
+    state, laid = graph.vertices().select("id", F.array_repeat(F.lit(start), k).alias("latent")), EdgeSet(graph.laid_out())
 
     def one(state: DataFrame, _: int) -> DataFrame:
-        edges, _ = EdgeSet(graph).rows(state, lambda s, d, w: F.array(s.latent, d.latent))
+        edges, _ = laid.rows(state, lambda s, d, w: F.array(s.latent, d.latent))
         dot = F.aggregate(F.zip_with("_src_latent", "_dst_latent", lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
         edges = edges.select("dst", "_src_latent", (F.col("weight") - dot).alias("_err"))
         sums = edges.groupBy(F.col("dst").alias("id")).agg(F.array(*[F.sum(F.col("_src_latent")[i] * F.col("_err")) for i in range(k)]).alias("_e"))
@@ -83,4 +83,4 @@ def collaborative_filtering(graph: Graph, k: int = 20, step: float = 3.5e-7, dec
         error = F.coalesce("_e", F.array_repeat(F.lit(0.0), k))
         return joined.select("id", F.zip_with("latent", error, lambda x, e: x + step * (e - decay * x)).alias("latent"))
 
-    return repeat(state, one, rounds, cut_every=2)
+    return repeat(state, one, rounds)

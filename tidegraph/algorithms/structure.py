@@ -5,39 +5,43 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import global_rank, running_sums
 from ..graph import Graph
 from ..operators.edges import EdgeSet, Update
 from ..operators.intersect import common_neighbours
+from ..operators.ordered import PriorityQueue
 from ..plans.hints import DEFAULT, Hints
 from ..plans.loop import Rounds
 from ..runtime import materialize
-from .paths import _active
+from .paths import bfs
 
 
 def connected_components(graph: Graph, hints: Hints = DEFAULT) -> DataFrame:
     """(id, label): smallest id that reaches a vertex along edges; components if the graph is symmetric."""
-    edges, keep = EdgeSet(graph, hints), Rounds()
-    state = keep.keep(graph.vertices().select("id", F.col("id").alias("label"), F.lit(True).alias("active")))
-    while not state.where("active").isEmpty():
-        state = keep.keep(_active(edges, state).apply_modified(state, [Update("label", lambda s, d, w: s.label, "min")], "label"))
+    edges, keep, active = EdgeSet(graph.laid_out(), hints), Rounds(), F.count_if("active")
+    state = keep.keep(graph.vertices().select("id", F.col("id").alias("label"), F.lit(True).alias("active")), active=active)
+    while keep.figures["active"]:
+        after = edges.frontier(keep.figures["active"]).apply_modified(state, [Update("label", lambda s, d, w: s.label, "min")], "label")
+        state = keep.keep(after, active=active)
     return keep.release(state).drop("active")
 
 
 def connected_components_jumping(graph: Graph, hints: Hints = DEFAULT) -> DataFrame:
     """The same labels by all edges each round plus pointer jumping: logarithmic rounds on long paths."""
-    edges, keep = EdgeSet(graph, hints), Rounds()
-    state = keep.keep(graph.vertices().select("id", F.col("id").alias("label"), F.lit(True).alias("active")))
-    while not state.where("active").isEmpty():
-        after = edges.apply(state.withColumn("old", F.col("label")).drop("active"), [Update("label", lambda s, d, w: s.label, "min")])
-        for _ in range(2):
-            up = after.select(F.col("id").alias("label"), F.col("label").alias("_up"))
-            after = after.join(up, "label").select("id", "old", F.col("_up").alias("label"))
-        state = keep.keep(after.select("id", "label", (F.col("label") != F.col("old")).alias("active")))
-    return keep.release(state).drop("active")
+    edges, keep = EdgeSet(graph.laid_out(), hints), Rounds()
+    state = keep.keep(graph.vertices().select("id", F.col("id").alias("label")))
+    changed = True
+    while changed:
+        low = keep.keep(edges.apply(state.withColumn("old", F.col("label")), [Update("label", lambda s, d, w: s.label, "min")]))
+        up = low.select(F.col("id").alias("label"), F.col("label").alias("_up"))
+        jumped = low.join(up, "label").select("id", "old", F.col("_up").alias("label"))
+        kept = keep.keep(jumped, active=F.count_if(F.col("label") != F.col("old")))
+        state, changed = kept.drop("old"), keep.figures["active"]
+    keep.release(kept)
+    return state
 
 
 def k_core(graph: Graph) -> DataFrame:
@@ -46,43 +50,26 @@ def k_core(graph: Graph) -> DataFrame:
     Peeling in order of degree takes a round for every wave of removals. The same numbers are the largest
     fixpoint of: a vertex's number is the h-index of its neighbours' numbers. From the degrees downwards all
     vertices move at once, so a few rounds do. The h-index comes from counts per (vertex, number), never from
-    a hub's whole list.
+    a hub's whole list; numbers only fall, so the vertex's own one caps it afterwards.
     """
-    keep = Rounds()
-    state = keep.keep(graph.out_degrees().select("id", F.col("degree").alias("core"), F.lit(True).alias("active")))
-    edges = EdgeSet(graph)
-    while not state.where("active").isEmpty():
-        pairs, (value,) = edges.rows(state, lambda s, d, w: F.least(s.core, d.core))
-        counts = pairs.groupBy(F.col("src").alias("id"), value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    edges, keep, active = EdgeSet(graph.laid_out()), Rounds(), F.count_if("active")
+    state = keep.keep(graph.out_degrees().select("id", F.col("degree").alias("core"), F.lit(True).alias("active")), active=active)
+    while keep.figures["active"]:
+        pairs, (value,) = edges.rows(state, lambda s, d, w: s.core)
+        counts = pairs.groupBy(F.col("dst").alias("id"), value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
         upward = Window.partitionBy("id").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
         own = counts.select("id", F.least("value", F.sum("n").over(upward)).alias("h")).groupBy("id").agg(F.max("h").alias("h"))
-        new = F.coalesce("h", F.lit(0)).cast("long")
-        state = keep.keep(state.join(own, "id", "left").select("id", new.alias("core"), (new != F.col("core")).alias("active")))
+        new = F.least("core", F.coalesce("h", F.lit(0))).cast("long")
+        state = keep.keep(state.join(own, "id", "left").select("id", new.alias("core"), (new != F.col("core")).alias("active")), active=active)
     return keep.release(state).select("id", "core")
 
 
-def k_core_unordered(graph: Graph, waves: int = 4) -> DataFrame:
-    """The same numbers by k = 1, 2, ...: remove all degrees below k until none is left, then go on.
-
-    Levels at which nothing would go are skipped, and several waves of removals share a plan.
-    """
-    keep = Rounds(3)
-    state = keep.keep(graph.out_degrees().select("id", "degree", F.lit(0).cast("long").alias("core"), F.lit(True).alias("alive")))
-    k = 1
-    while (least := state.where("alive").agg(F.min("degree")).first()[0]) is not None:
-        k = max(k, least + 1)
-        for _ in range(waves):
-            gone = F.col("alive") & (F.col("degree") < k)
-            state = state.withColumn("gone", gone)
-            got = EdgeSet(graph).from_(lambda s: s.gone).messages(state, [Update("degree", lambda s, d, w: F.lit(1))])
-            state = state.join(got, "id", "left").select(
-                "id",
-                (F.col("degree") - F.coalesce("_m0", F.lit(0))).alias("degree"),
-                F.when(F.col("gone"), F.lit(k - 1)).otherwise(F.col("core")).cast("long").alias("core"),
-                (F.col("alive") & ~F.col("gone")).alias("alive"),
-            )
-        state = keep.keep(state)
-    return keep.release(state).select("id", "core")
+def k_core_unordered(graph: Graph) -> DataFrame:
+    """The same numbers by peeling: the vertices of least degree are final and their neighbours' degrees sink,
+    not below the present level. A round for every wave of removals, so slower than :func:`k_core`."""
+    state = graph.out_degrees().withColumn("core", F.lit(0).cast("long"))
+    queue = PriorityQueue(state, "degree", all_in=True, absent=None)
+    return queue.process_sum(EdgeSet(graph.laid_out()), lambda s, d, w: F.lit(-1), "core").select("id", "core")
 
 
 def triangle_count(graph: Graph, oriented: bool = True) -> int:
@@ -103,47 +90,51 @@ def triangle_count(graph: Graph, oriented: bool = True) -> int:
     return wedges.join(up.select(F.col("src").alias("x"), F.col("dst").alias("y")), ["x", "y"], "left_semi").count()
 
 
-def maximal_independent_set(graph: Graph, seed: int = 0) -> DataFrame:
-    """(id, chosen): Luby rounds with hashed priorities; symmetric graphs. Same set for the same seed."""
-    keep = Rounds()
-    state = keep.keep(graph.vertices().select("id", F.xxhash64(F.lit(seed), "id").alias("p"), F.lit(False).alias("chosen"), F.lit(True).alias("open")))
-    edges = EdgeSet(graph)
-    while not state.where("open").isEmpty():
-        first = edges.from_(lambda s: s.open).to(lambda d: d.open).messages(state, [Update("p", lambda s, d, w: F.struct(s.p, s.id), "min")])
-        own = F.struct("p", "id")
-        state = state.join(first, "id", "left").withColumn("_new", F.col("open") & (F.col("_m0").isNull() | (own < F.col("_m0")))).drop("_m0")
-        hit = edges.from_(lambda s: s["new_"]).messages(state.withColumnRenamed("_new", "new_"), [Update("open", lambda s, d, w: F.lit(1), "max")])
-        state = keep.keep(state.join(hit, "id", "left").select("id", "p", (F.col("chosen") | F.col("_new")).alias("chosen"), (F.col("open") & ~F.col("_new") & F.col("_m0").isNull()).alias("open")))
+def maximal_independent_set(graph: Graph, seed: int = 0, priority: Column | None = None) -> DataFrame:
+    """(id, chosen): Luby rounds with hashed priorities (or ``priority``, read from the id; ties by id).
+
+    Symmetric graphs. Always the set that a serial pass in order of priority would choose.
+    """
+    keep, open_ = Rounds(), F.count_if("open")
+    p = F.xxhash64(F.lit(seed), "id") if priority is None else priority
+    state = keep.keep(graph.vertices().select("id", p.alias("p"), F.lit(False).alias("chosen"), F.lit(True).alias("open")), open=open_)
+    edges = EdgeSet(graph.laid_out())
+    while keep.figures["open"]:
+        first = edges.frontier(keep.figures["open"], "open").messages(state, [Update("p", lambda s, d, w: F.struct(s.p, s.id), "min")])
+        fresh = F.col("open") & (F.col("_m0").isNull() | (F.struct("p", "id") < F.col("_m0")))
+        state = keep.keep(state.join(first, "id", "left").withColumn("fresh", fresh).drop("_m0"), fresh=F.count_if("fresh"))
+        hit = edges.frontier(keep.figures["fresh"], "fresh").messages(state, [Update("open", lambda s, d, w: F.lit(1), "max")])
+        state = keep.keep(state.join(hit, "id", "left").select("id", "p", (F.col("chosen") | F.col("fresh")).alias("chosen"), (F.col("open") & ~F.col("fresh") & F.col("_m0").isNull()).alias("open")), open=open_)
     return keep.release(state).select("id", "chosen")
 
 
 def set_cover(graph: Graph, epsilon: float = 0.01) -> DataFrame:
     """(id) of the chosen sets: approximate cover, vertices are sets that hold their out-neighbours.
 
-    Buckets of uncovered size in powers of 1 + epsilon, largest first. In a round the sets still large enough
+    Buckets of uncovered size in powers of 1 + epsilon, largest first. In a round the sets of the top bucket
     claim their elements, the smallest id wins each; sets that won nearly a bucket's worth join the cover,
-    the others release what they won.
+    the others release what they won. Two tables are written a round: the claims and what is left.
     """
     scale = 1.0 / math.log(1.0 + epsilon)
     bucket = F.floor(scale * F.log(F.col("n").cast("double"))).cast("long")
-    keep, hold, part = Rounds(), Rounds(), Rounds()
-    edges = keep.keep(graph.edges.select("src", "dst"))
-    count = lambda e: e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    state = hold.keep(count(edges).select("id", bucket.alias("b"), F.lit(False).alias("chosen")))
-    while (top := state.agg(F.max("b")).first()[0]) is not None:
-        packed = state.where(F.col("b") == top).select("id").join(count(edges), "id").select("id", "n", bucket.alias("_b"))
-        large = packed.where(F.col("n") >= math.ceil((1 + epsilon) ** top)).select(F.col("id").alias("src"))
-        claims = part.keep(edges.join(large, "src", "left_semi").groupBy("dst").agg(F.min("src").alias("src")))
-        won = claims.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("won")).where(F.col("won") >= max(math.ceil((1 + epsilon) ** (top - 1)), 1)).select("id", F.lit(True).alias("_won"))
-        after = state.join(packed.drop("n"), "id", "left").join(won, "id", "left")
-        joined = F.coalesce(F.col("_won"), F.lit(False))
-        fresh = F.when(joined, None).when(F.col("b") == top, F.col("_b")).otherwise(F.col("b"))
-        state = hold.keep(after.select("id", fresh.alias("b"), (F.col("chosen") | joined).alias("chosen")))
-        covered = claims.join(won.select(F.col("id").alias("src")), "src", "left_semi").select("dst")
-        edges = keep.keep(edges.join(covered, "dst", "left_anti").select("src", "dst"))
-    out = hold.release(state.where("chosen").select("id"))
-    keep.release()
-    part.release()
+    left, claimed, found = Rounds(), Rounds(), []
+    size = F.count(F.lit(1))
+    edges = left.keep(graph.edges.select("src", "dst"), left=size)
+    while left.figures["left"]:
+        sets = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).select("src", bucket.alias("b"))
+        top = sets.agg(F.max("b").alias("b"))  # one row
+        large = sets.join(F.broadcast(top), "b").select("src", "b")
+        claims = edges.join(large, "src").groupBy("dst").agg(F.min(F.struct("src", "b")).alias("c")).select("dst", "c.src", "c.b")
+        least = F.greatest(F.ceil(F.pow(F.lit(1 + epsilon), F.col("b") - 1)), F.lit(1))
+        won = claims.groupBy("src", "b").agg(size.alias("n")).where(F.col("n") >= least).select("src")
+        claims = claimed.keep(claims.join(won, "src", "left_semi").select("src", "dst"))
+        edges = left.keep(edges.join(claims.select("dst"), "dst", "left_anti").join(claims.select("src").distinct(), "src", "left_anti").select("src", "dst"), left=size)
+        found.append(materialize(claims.select(F.col("src").alias("id")).distinct(), "chosen"))
+    left.release()
+    claimed.release()
+    out = graph.spark.range(0)
+    for f in found:
+        out = out.unionAll(f)
     return out
 
 
@@ -154,39 +145,40 @@ SERIAL_EDGES = 200_000
 def minimum_spanning_tree(graph: Graph, start: int, serial_edges: int = SERIAL_EDGES) -> DataFrame:
     """(id, parent): -1 where unreached, the start is its own parent.
 
-    Small graphs (an explicit bound) grow from the start by a heap of (weight, vertex, parent). Larger ones
-    take Boruvka rounds, distributed, over the edges as undirected, then orient the tree from the start;
-    with equal weights the two may differ.
+    Edges are ordered by (weight, smaller id, larger id), a total order, so an undirected graph has one tree
+    whichever way it is found: up to an explicit number of edges by growing it from the start with a heap,
+    beyond that by Boruvka rounds, distributed, whose tree is then oriented from the start. A directed graph
+    is grown along its edges; that has no distributed form, so a larger one is an error.
     """
     if graph.edges.limit(serial_edges + 1).count() <= serial_edges:
         out: dict[int, list] = {}
         for row in graph.edges.collect():
             out.setdefault(row["src"], []).append((row["weight"], row["dst"]))
-        parent, heap = {}, [(0, start, start)]
+        parent, heap = {}, [(0, start, start, start, start)]
         while heap:
-            _, v, p = heapq.heappop(heap)
+            _, _, _, v, p = heapq.heappop(heap)
             if v in parent:
                 continue
             parent[v] = p
             for w, x in out.get(v, []):
                 if x not in parent:
-                    heapq.heappush(heap, (w, x, v))
+                    heapq.heappush(heap, (w, min(v, x), max(v, x), x, v))
         found = graph.spark.createDataFrame(list(parent.items()), "id long, parent long")
         return graph.vertices().join(found, "id", "left").select("id", F.coalesce("parent", F.lit(-1)).alias("parent"))
+    if not graph.undirected:
+        raise ValueError(f"a directed graph of more than {serial_edges} edges")
     tree = boruvka(graph)
     both = Graph(tree.unionByName(tree.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), graph.n)
-    from .paths import bfs
-
     return bfs(both, start).select("id", "parent")
 
 
 def boruvka(graph: Graph) -> DataFrame:
     """(src, dst) of a minimum spanning forest of the undirected graph; ties by (weight, smaller id, larger id)."""
     e = graph.edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), "weight").groupBy("u", "v").agg(F.min("weight").alias("w"))
-    keep, marks = Rounds(), Rounds()
-    e = keep.keep(e.select("u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b")))
+    keep, marks, size = Rounds(), Rounds(), F.count(F.lit(1))
+    e = keep.keep(e.select("u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b")), left=size)
     tree = graph.spark.createDataFrame([], "src long, dst long")
-    while not e.isEmpty():
+    while keep.figures["left"]:
         pick = F.struct("w", "u", "v", "a", "b")
         best = e.select(F.explode(F.array("a", "b")).alias("c"), pick.alias("p")).groupBy("c").agg(F.min("p").alias("p"))
         best = marks.keep(best.select("p.*").distinct())
@@ -194,7 +186,7 @@ def boruvka(graph: Graph) -> DataFrame:
         links = best.select(F.col("a").alias("src"), F.col("b").alias("dst"))
         names = _contract(links)
         one, two = names.select(F.col("id").alias("a"), F.col("label").alias("_a")), names.select(F.col("id").alias("b"), F.col("label").alias("_b"))
-        e = keep.keep(e.join(one, "a", "left").join(two, "b", "left").select("u", "v", "w", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b"))
+        e = keep.keep(e.join(one, "a", "left").join(two, "b", "left").select("u", "v", "w", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b"), left=size)
         tree = materialize(tree, "tree")
     keep.release()
     marks.release()
@@ -204,13 +196,13 @@ def boruvka(graph: Graph) -> DataFrame:
 def _contract(links: DataFrame) -> DataFrame:
     """(id, label) of the components of a few links, by minimum labels with pointer jumping."""
     both = materialize(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "links")
-    keep = Rounds()
-    state = keep.keep(both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")).withColumn("active", F.lit(True)))
-    while not state.where("active").isEmpty():
+    keep, active = Rounds(), F.count_if("active")
+    state = keep.keep(both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")).withColumn("active", F.lit(True)), active=active)
+    while keep.figures["active"]:
         low = both.join(state.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("_m"))
-        after = state.join(low, "id").select("id", F.col("label").alias("old"), F.least("label", "_m").alias("label"))
+        after = keep.keep(state.join(low, "id").select("id", F.col("label").alias("old"), F.least("label", "_m").alias("label")))
         up = after.select(F.col("id").alias("label"), F.col("label").alias("_up"))
-        state = keep.keep(after.join(up, "label").select("id", F.col("_up").alias("label"), (F.col("_up") != F.col("old")).alias("active")))
+        state = keep.keep(after.join(up, "label").select("id", F.col("_up").alias("label"), (F.col("_up") != F.col("old")).alias("active")), active=active)
     return keep.release(state).drop("active")
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.order import global_rank
+from .runtime import scratch_path
 
 
 def normalize(edges: DataFrame, symmetrize: bool = False) -> DataFrame:
@@ -62,6 +61,18 @@ class Graph:
         self.edges = self.edges.persist()
         return self
 
+    def laid_out(self) -> Graph:
+        """The same graph with its edges written once, bucketed and sorted by source.
+
+        A traversal then joins them with a state where they lie: rounds shuffle the state and the combined
+        messages, never the edges. The table lives in the shared folder until the application ends.
+        """
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        path = scratch_path(self.spark, "edges")
+        name = "tidegraph_" + path.rsplit("-", 1)[-1]
+        self.edges.repartition(parts, "src").write.bucketBy(parts, "src").sortBy("src").option("path", path).saveAsTable(name)
+        return Graph(self.spark.table(name), self._n, self.undirected)
+
     def vertices(self) -> DataFrame:
         return self.spark.range(self.n)
 
@@ -77,7 +88,9 @@ class Graph:
         counts = self.edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias(name))
         return self.vertices().join(counts, "id", "left").select("id", F.coalesce(name, F.lit(0)).cast("long").alias(name))
 
-    out_degrees_unsigned = out_degrees
+    def out_degrees_unsigned(self, name: str = "degree") -> DataFrame:
+        """The same numbers: a Spark long holds every unsigned 32-bit degree."""
+        return self.out_degrees(name)
 
     def out_degree(self, v: int) -> int:
         return self.edges.where(F.col("src") == v).count()
@@ -136,7 +149,3 @@ class Graph:
         if row is None:
             raise ValueError(f"vertex {v} has no out-neighbour")
         return row["neighbour"]
-
-    @functools.cached_property
-    def degree_table(self) -> DataFrame:
-        return self.out_degrees()

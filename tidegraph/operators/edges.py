@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.hints import DEFAULT, Hints
+from ..plans.hints import BROADCAST_IDS, DEFAULT, Hints
 
 #: Reductions of messages, and how they meet the old value.
 OPS = ("sum", "min", "max", "set")
@@ -69,16 +69,26 @@ class EdgeSet:
         self.graph, self.hints = graph, hints
         self._sets: list[tuple[str, DataFrame]] = []
         self._predicates: list[tuple[str, Callable[[Side], Column]]] = []
+        self._active: int | None = None
 
     def _with(self, end: str, what) -> EdgeSet:
         other = EdgeSet(self.graph, self.hints)
-        other._sets, other._predicates = list(self._sets), list(self._predicates)
+        other._sets, other._predicates, other._active = list(self._sets), list(self._predicates), self._active
         if isinstance(what, DataFrame):
             other._sets.append((end, what))
-        else:
+        elif what is not None:
             other._predicates.append((end, what))
         return other
 
+    def frontier(self, active: int, column: str = "active") -> EdgeSet:
+        """Only edges whose source is active: ``column`` of the state is true for ``active`` vertices.
+
+        A sparse push looks the edges up by a frontier of a checked size; else the flag is read in the join.
+        """
+        other = self._with("src", lambda s: s[column])
+        other._active = active
+        return other
+
     def from_(self, what) -> EdgeSet:
         """Only edges whose source is in a vertex set (id), or satisfies a predicate on its state."""
         return self._with("src", what)
@@ -95,16 +105,23 @@ class EdgeSet:
         for end, ids in self._sets:
             edges = self.hints.semi_join(edges, ids, end)
         src, dst = Side("src"), Side("dst")
-        conditions = [p(src if end == "src" else dst) for end, p in self._predicates]
+        conditions = [(end, p(src if end == "src" else dst)) for end, p in self._predicates]
         w = F.col("weight") if self.graph.weighted else F.lit(None).cast("int")
         columns = [f(src, dst, w) for f in functions]
         for side in (src, dst):
             if side._used:
                 if state is None:
                     raise ValueError("these functions read vertex state")
-                edges = edges.join(state.select(F.col("id").alias(side._key), *[F.col(c).alias(f"_{side._key}_{c}") for c in sorted(side._used)]), side._key)
-        for c in conditions:
-            edges = edges.where(c)
+                own = state.select(F.col("id").alias(side._key), *[F.col(c).alias(f"_{side._key}_{c}") for c in sorted(side._used)])
+                for end, c in conditions:  # a predicate reads one end: it thins the state before the join
+                    if end == side._key:
+                        own = own.where(c)
+                if side is src and self._active is not None and self._active <= BROADCAST_IDS and self.hints.sparse(self._active, self.graph.n):
+                    own = F.broadcast(own)
+                edges = edges.join(own, side._key)
+        for end, c in conditions:
+            if not (src if end == "src" else dst)._used:
+                edges = edges.where(c)
         return edges, columns
 
     def messages(self, state: DataFrame | None, updates: list[Update]) -> DataFrame:
@@ -123,16 +140,19 @@ class EdgeSet:
 
     def apply(self, state: DataFrame, updates: list[Update]) -> DataFrame:
         """``state`` after the traversal. All functions read the state as it was before."""
-        return self._apply(state, updates, None, None)
+        return self._apply(state, updates, None, None, None)
 
-    def apply_modified(self, state: DataFrame, updates: list[Update], track: str, active: str = "active") -> DataFrame:
+    def apply_modified(self, state: DataFrame, updates: list[Update], track: str, active: str = "active", unset: Column | None = None) -> DataFrame:
         """As apply; ``active`` marks the vertices whose ``track`` changed: the next frontier, without repeats.
 
         For 'min' and 'max' the value must differ; a sum or an assignment counts whenever a message came.
+        ``unset`` is a condition on the receiving vertex, which keeps its state where it is false. It is read
+        where combined messages meet the state, so no edge travels to its destination for it (a ``to``
+        predicate has the same rows and thins edges first, at that price).
         """
-        return self._apply(state, updates, track, active)
+        return self._apply(state, updates, track, active, unset)
 
-    def _apply(self, state, updates, track, active):
+    def _apply(self, state, updates, track, active, unset):
         joined = state.join(self.messages(state, updates), "id", "left")
         new = {}
         for i, u in enumerate(updates):
@@ -144,6 +164,8 @@ class EdgeSet:
                 m = F.col(f"_m{i}")
                 changed = changed | (m.isNotNull() if u.op in ("sum", "set") else F.coalesce(m < F.col(track) if u.op == "min" else m > F.col(track), F.lit(False)))
             new[active] = changed
+        if unset is not None:
+            new = {c: (unset & v if c == active else F.when(unset, v).otherwise(F.col(c))) for c, v in new.items()}
         return joined.withColumns(new).drop(*[f"_m{i}" for i in range(len(updates))])
 
     def apply_returning(self, state: DataFrame | None, predicate: Callable[..., Column]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The accepted spellings.
@@ -16,14 +16,16 @@ PRIORITY_UPDATES = ("lazy_priority_update", "eager_priority_update", "eager_prio
 INTERSECTIONS = ("HiroshiIntersection", "MultiskipIntersection", "CombinedIntersection", "BinarySearchIntersection", "NaiveIntersection")
 #: A frontier is broadcast up to so many ids (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: A hybrid direction is sparse up to this share of active vertices.
+SPARSE_SHARE = 0.05
 
 
 @dataclass(frozen=True)
 class Hints:
     """One schedule: defaults are push, reduce before update, delta 1.
 
-    direction, delta and segments reach the plan; the others are checked and kept, as Spark's own adaptive
-    execution, code generation and partial aggregation decide what they would.
+    direction, delta, segments and duplicates reach the plan; the others are checked and kept, as Spark's own
+    adaptive execution, code generation and partial aggregation decide what they would.
     """
 
     direction: str = "SparsePush"
@@ -39,6 +41,8 @@ class Hints:
     grain_size: int | None = None
     fuse: tuple[str, ...] = ()
     deduplicate: bool = True
+    fused: tuple[str, ...] = ()
+    split: tuple[int, ...] = ()
 
     def __post_init__(self):
         for name, known in (("direction", DIRECTIONS), ("parallel", PARALLEL), ("dense_set", DENSE_SETS), ("numa", NUMA), ("priority_update", PRIORITY_UPDATES), ("intersection", INTERSECTIONS)):
@@ -47,6 +51,16 @@ class Hints:
         if self.delta < 1:
             raise ValueError("delta must be at least 1")
 
+    def sparse(self, active: int | None, n: int) -> bool:
+        """Whether a round starts from the frontier: always for a sparse push, never for a pull or a dense one.
+
+        A hybrid takes its first word while at most SPARSE_SHARE of the vertices are active, then its second.
+        Without a known number of active vertices it takes the first.
+        """
+        words = self.direction.split("-")
+        word = words[0] if len(words) == 1 or active is None else words[0 if ("Sparse" in words[0]) == (active <= SPARSE_SHARE * n) else 1]
+        return word == "SparsePush"
+
     def semi_join(self, edges: DataFrame, ids: DataFrame, key: str) -> DataFrame:
         """Edges whose ``key`` is in ``ids``. Push directions broadcast ids whose number was checked."""
         right = ids.select(F.col("id").alias(key))
@@ -110,6 +124,24 @@ class Schedule:
     def fuse_fields(self, label: str, *columns: str) -> Schedule:
         return self._set(label, fuse=columns)
 
+    def fuse_for_loop(self, label: str, *loops: str) -> Schedule:
+        """Accepted: Catalyst fuses what one plan holds."""
+        return self._set(label, fused=tuple(loops))
+
+    def split_for_loop(self, label: str, *parts: int) -> Schedule:
+        """Accepted: a loop's rounds are separate jobs already."""
+        return self._set(label, split=tuple(parts))
+
+    def fuse_apply_functions(self, label: str, *functions: str) -> Schedule:
+        """Accepted: several updates of one traversal always share its pass."""
+        return self._set(label, fused=tuple(functions))
+
+    def set_vertex_set(self, label: str, kind: str) -> Schedule:
+        """The older spelling of a frontier's layout."""
+        if kind not in ("sparse", "dense", "bitvector", "boolean-array"):
+            raise ValueError(f"unknown vertex set: {kind!r}")
+        return self._set(label, dense_set="bitvector" if kind == "bitvector" else "boolean-array")
+
     def set_apply(self, label: str, option: str, value: int | None = None) -> Schedule:
         """The older single-word options."""
         old = {
@@ -124,7 +156,3 @@ class Schedule:
 
     def hints(self, label: str) -> Hints:
         return Hints(**self._by_label.get(label, {}))
-
-
-def broadcastable(spark: SparkSession, df: DataFrame, rows: int = BROADCAST_IDS) -> bool:
-    return df.limit(rows + 1).count() <= rows

@@ -1,60 +1,50 @@
-"""Driver-side rounds: when to keep, when to cut lineage."""
+"""Driver-side rounds: one written table a round, with the round's figures from the same write."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 
-from ..runtime import materialize
-
-#: Rounds between two cuts of the lineage; in between, a round's state is only persisted.
-CUT_EVERY = 6
+from ..runtime import discard, materialize
 
 
 class Rounds:
-    """Keeps one state frame per round: persisted, and every CUT_EVERY rounds written to the shared folder.
+    """Keeps a loop's state: every round is written to the shared folder, so a plan never holds more than one
+    round however often it reads the state, and a lost executor costs at most that round.
 
-    A lost executor costs at most the rounds since the last cut. The frame before the last is released.
+    Figures (aggregates) asked for with a round are observed while it is written: a loop needs one action a
+    round. The table before the last is deleted.
     """
 
-    def __init__(self, cut_every: int = CUT_EVERY):
-        self.cut_every, self.round, self._held = cut_every, 0, []
+    def __init__(self):
+        self.round, self._held, self.figures = 0, [], {}
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, **figures: Column) -> DataFrame:
         self.round += 1
-        if self.round % self.cut_every == 0:
-            out = materialize(df, "round")
-        else:
-            out = df.persist(StorageLevel.MEMORY_AND_DISK)
+        if figures:
+            seen = Observation()
+            df = df.observe(seen, *[c.alias(k) for k, c in figures.items()])
+        out = materialize(df, "round")
+        if figures:
+            self.figures = dict(seen.get)
         self._held.append(out)
         if len(self._held) > 2:
-            self._held.pop(0).unpersist()
+            discard(self._held.pop(0))
         return out
 
     def release(self, last: DataFrame | None = None) -> DataFrame | None:
-        """Write ``last`` (if given) and drop everything that is still persisted."""
-        out = materialize(last, "result") if last is not None else None
+        """Drop what no plan will read; ``last`` is the final state, which stays."""
         for df in self._held:
-            df.unpersist()
+            if df is not last:
+                discard(df)
         self._held = []
-        return out
-
-
-def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], flag: str = "active", max_rounds: int = 1 << 30) -> tuple[DataFrame, int]:
-    """Apply ``step`` while any row's ``flag`` is true: (last state, rounds made). One action a round."""
-    rounds, done = Rounds(), 0
-    while done < max_rounds and not state.where(flag).isEmpty():
-        state = rounds.keep(step(state))
-        done += 1
-    return rounds.release(state), done
+        return last
 
 
-def repeat(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], times: int, cut_every: int = 4) -> DataFrame:
-    """A fixed number of rounds: several go into one plan, then the lineage is cut. No action in between."""
+def repeat(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], times: int) -> DataFrame:
+    """A fixed number of rounds, each written once."""
+    rounds = Rounds()
     for i in range(times):
-        state = step(state, i)
-        if i % cut_every == cut_every - 1 or i == times - 1:
-            state = materialize(state, "round")
-    return state
+        state = rounds.keep(step(state, i))
+    return rounds.release(state)

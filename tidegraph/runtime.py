@@ -19,8 +19,14 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set (tests, local mode)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The cluster's shared folder; in local mode without one a folder of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own_dir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

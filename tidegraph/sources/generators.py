@@ -13,7 +13,7 @@ def _uniform(seed: int, *key) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
 
-def uniform(spark: SparkSession, scale: int, degree: int = 16, seed: int = 27491095) -> Graph:
+def uniform(spark: SparkSession, scale: int, degree: int = 16, seed: int = 20240611) -> Graph:
     """2**scale vertices, degree * 2**scale undirected edges with uniform ends."""
     n = 1 << scale
     rows = spark.range(n * degree)
@@ -21,7 +21,7 @@ def uniform(spark: SparkSession, scale: int, degree: int = 16, seed: int = 27491
     return Graph(normalize(edges, True), n, True)
 
 
-def rmat(spark: SparkSession, scale: int, degree: int = 16, seed: int = 27491095) -> Graph:
+def rmat(spark: SparkSession, scale: int, degree: int = 16, seed: int = 20240611) -> Graph:
     """Recursive matrix (Kronecker) graph with the fixed quadrant shares .57, .19, .19, .05."""
     n = 1 << scale
     src = dst = F.lit(0).cast("long")
