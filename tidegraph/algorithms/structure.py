@@ -116,7 +116,8 @@ def set_cover(graph: Graph, epsilon: float = 0.01) -> DataFrame:
     the others release what they won. Two tables are written a round: the claims and what is left.
     """
     scale = 1.0 / math.log(1.0 + epsilon)
-    bucket = F.floor(scale * F.log(F.col("n").cast("double"))).cast("long")
+    # a whole power of the base belongs to its own bucket, however the logarithm rounds
+    bucket = F.floor(scale * F.log(F.col("n").cast("double")) + 1e-9).cast("long")
     left, claimed, found = Rounds(), Rounds(), []
     size = F.count(F.lit(1))
     edges = left.keep(graph.edges.select("src", "dst"), left=size)
@@ -125,7 +126,7 @@ def set_cover(graph: Graph, epsilon: float = 0.01) -> DataFrame:
         top = sets.agg(F.max("b").alias("b"))  # one row
         large = sets.join(F.broadcast(top), "b").select("src", "b")
         claims = edges.join(large, "src").groupBy("dst").agg(F.min(F.struct("src", "b")).alias("c")).select("dst", "c.src", "c.b")
-        least = F.greatest(F.ceil(F.pow(F.lit(1 + epsilon), F.col("b") - 1)), F.lit(1))
+        least = F.greatest(F.ceil(F.pow(F.lit(1 + epsilon), F.col("b") - 1) - 1e-9), F.lit(1))
         won = claims.groupBy("src", "b").agg(size.alias("n")).where(F.col("n") >= least).select("src")
         claims = claimed.keep(claims.join(won, "src", "left_semi").select("src", "dst"))
         edges = left.keep(edges.join(claims.select("dst"), "dst", "left_anti").join(claims.select("src").distinct(), "src", "left_anti").select("src", "dst"), left=size)

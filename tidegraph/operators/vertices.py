@@ -85,11 +85,13 @@ def atomic_add(state: DataFrame, v: int, column: str, value) -> DataFrame:
     return state.withColumn(column, F.when(F.col("id") == v, F.col(column) + F.lit(value)).otherwise(F.col(column)))
 
 
-def constant_vector(spark: SparkSession, values: list, name: str = "value") -> DataFrame:
-    """A vector literal as state (id, value)."""
-    return spark.createDataFrame(list(enumerate(values)), f"id long, {name} {'double' if any(isinstance(v, float) for v in values) else 'long'}")
-
-
 def apply_extern(state: DataFrame, vertices: DataFrame, function: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Hand the state and a set to the caller's own DataFrame function; it returns the new state."""
     return function(state, vertices)
+
+
+def apply_update_priority_extern(state: DataFrame, vertices: DataFrame, function: Callable[[DataFrame, DataFrame], DataFrame], priority: str, dirty: str = "dirty") -> DataFrame:
+    """The same for a function that changes priorities: rows whose priority it changed join the queue, others
+    stay as they were. The queue finds them in the bucket of their new priority."""
+    after = apply_extern(state.withColumn("_was", F.col(priority)), vertices, function)
+    return after.withColumn(dirty, F.col(dirty) | ~F.col(priority).eqNullSafe(F.col("_was"))).drop("_was")

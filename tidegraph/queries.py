@@ -7,16 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .algorithms import paths, ranking, structure
+from .functions.order import global_rank, running_sums
 from .functions.scalar import INT_MAX, atoi, great_circle_cm, int_div, maximum, xor
 from .graph import Graph, normalize
 from .operators import primitives, vertices
 from .operators.edges import EdgeSet, Update
 from .operators.intersect import common_neighbours, intersect_neighbours, intersection_size
-from .plans.hints import Hints
+from .operators.ordered import PriorityQueue
+from .plans.hints import DIRECTIONS, INTERSECTIONS, Hints, Schedule
 from .runtime import materialize, scratch_path
 from .sources import generators, readers, writers
 
@@ -25,6 +28,8 @@ ORACLE: dict[str, str] = {}
 
 #: Roots and rounds of the queries below.
 ROOT, TARGET, SOURCES, RELAXATIONS, LEVELS = 0, 7, [1, 2, 3, 4, 5, 6, 7, 8], 16, 8
+#: Rounds of the SQL that repeats a fixpoint; more than the tables need.
+CORE_ROUNDS, SET_ROUNDS, COVER_ROUNDS = 24, 24, 60
 
 PC = """seq AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS dst, l_quantity AS q FROM lineitem),
 e AS MATERIALIZED (SELECT src, dst, CAST(min(q) AS INTEGER) AS weight FROM seq WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst),
@@ -51,6 +56,10 @@ def query(sql: str | None = None):
     return add
 
 
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
+
+
 def one_row(spark: SparkSession, **values) -> DataFrame:
     return spark.range(1).select(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in values.items()])
 
@@ -94,17 +103,25 @@ def edges_symmetrize(spark, sf):
     return part_chain(spark, sf, True).edges
 
 
-@query(f"""WITH {PCS}, d AS (SELECT v.id, count(es.src) AS n FROM v LEFT JOIN es ON es.src = v.id GROUP BY v.id),
-r AS (SELECT id, row_number() OVER (ORDER BY n DESC, id DESC) - 1 AS k FROM d)
+@query(f"""WITH {PCS}, d AS MATERIALIZED (SELECT v.id, count(es.src) AS n FROM v LEFT JOIN es ON es.src = v.id GROUP BY v.id),
+r AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY n DESC, id DESC) - 1 AS k FROM d)
 SELECT a.k AS src, b.k AS dst, weight FROM es JOIN r a ON a.id = es.src JOIN r b ON b.id = es.dst""")
 def edges_relabel(spark, sf):
     return part_chain(spark, sf, True).relabel(True).edges
 
 
-@query()
+@query(f"WITH {PC} SELECT (SELECT count(DISTINCT src) FROM e) AS with_out, (SELECT count(DISTINCT dst) FROM e) AS with_in, (SELECT count(*) FROM e) AS m, 0::BIGINT AS no_edge")
 def edges_random_neighbours(spark, sf):
+    """Who gets a neighbour, and how many of those are none: draws themselves are hashed."""
     g = part_chain(spark, sf)
-    return g.random_out_neighbours(1).withColumnRenamed("neighbour", "out_neighbour").join(g.random_in_neighbours(1).withColumnRenamed("neighbour", "in_neighbour"), "id", "full")
+    out, into = g.random_out_neighbours(1), g.random_in_neighbours(1)
+    picks = out.select(F.col("id").alias("src"), F.col("neighbour").alias("dst")).unionByName(into.select(F.col("neighbour").alias("src"), F.col("id").alias("dst")))
+    return one_row(spark, with_out=_long(out.count()), with_in=_long(into.count()), m=_long(g.edge_count()), no_edge=_long(picks.join(g.edges, ["src", "dst"], "left_anti").count()))
+
+
+@query(f"WITH {PC} SELECT v.id, count(e.src) AS degree, count(e.src) > 20 AS busy FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id")
+def edges_unsigned_degrees(spark, sf):
+    return part_chain(spark, sf).out_degrees_unsigned().withColumn("busy", F.col("degree") > 20)
 
 
 def _seven(g: Graph) -> DataFrame:
@@ -168,6 +185,74 @@ def vertex_filter_that_assigns(spark, sf):
     return vertices.where_update(g.state(b=F.col("id") % 5), {"b": F.col("b") * 2 + 1}, F.expr("b > 4"))
 
 
+@query(f"WITH {PC} SELECT id, CASE WHEN id % 10 = 0 AND id % 4 < 2 THEN 100 + id ELSE id END AS a, id % 10 = 0 AND id % 3 = 0 AS hit FROM v")
+def vertex_among(spark, sf):
+    """Apply and filter on the members of a set (repeats do not matter)."""
+    g = part_chain(spark, sf)
+    some = g.vertices().where("id % 10 = 0")
+    some = some.unionAll(some)
+    state = vertices.apply(g.state(a=F.col("id")), {"a": lambda: F.col("a") + 100}, where=F.col("id") % 4 < 2, among=some)
+    hits = vertices.where(state, F.col("id") % 3 == 0, among=some).withColumn("hit", F.lit(True))
+    return state.join(hits, "id", "left").select("id", "a", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+@query(f"WITH {PC} SELECT id, CASE WHEN id = 3 THEN 1 WHEN id = 4 THEN 8 WHEN id % 2 = 0 THEN 9 - id % 5 ELSE 9 END::BIGINT AS p, id % 2 = 0 AND id <> 4 OR id = 3 AS dirty FROM v")
+def extern_updates(spark, sf):
+    """A caller's own function lowers priorities and queues what it lowered; one element is then lowered alone."""
+    g = part_chain(spark, sf)
+    state = g.state(p=F.lit(9).cast("long"), dirty=F.lit(False))
+
+    def lower(state: DataFrame, members: DataFrame) -> DataFrame:
+        return vertices.apply(state, {"p": F.lit(9) - F.col("id") % 5}, among=members)
+
+    even = g.vertices().where("id % 2 = 0")
+    state = vertices.apply_update_priority_extern(state, even, lower, "p")
+    state = state.withColumns({"dirty": F.col("dirty") | ((F.col("id") % 10 == 0) & (F.col("id") % 2 == 0)), "p": F.when(F.col("id") == 4, 9).otherwise(F.col("p")).cast("long")})
+    state, changed = vertices.write_min(state, 3, "p", 1)
+    state = state.withColumn("dirty", F.col("dirty") | ((F.col("id") == 3) & F.lit(changed)))
+    state, _ = vertices.write_min(state, 4, "p", 8)
+    return state.withColumn("dirty", F.when(F.col("id") == 4, False).otherwise(F.col("dirty")))
+
+
+@query(f"WITH {PC} SELECT id % 5 AS bucket, count(*) AS n, id % 5 = 4 AS last FROM v GROUP BY id % 5")
+def queue_protocol(spark, sf):
+    """Ready sets in order of priority until the queue is finished."""
+    g = part_chain(spark, sf)
+    queue, seen = PriorityQueue(g.state(p=F.col("id") % 5), "p", all_in=True), []
+    while not queue.finished():
+        n = queue.dequeue_ready_set().count()
+        queue.replace(queue.state.withColumn("dirty", F.col("dirty") & ~queue.ready()))
+        seen.append((queue.current_priority(), n, queue.finished()))
+    return spark.createDataFrame(seen, "bucket long, n long, last boolean")
+
+
+def _schedules() -> list[Schedule]:
+    """Every option once; none may change a row."""
+    directions = [Schedule().config_apply_direction("s1", d) for d in DIRECTIONS]
+    one = Schedule().config_apply_parallelization("s1", "edge-aware-dynamic-vertex-parallel", 64).config_apply_dense_vertex_set("s1", "bitvector").config_apply_num_ssg("s1", "fixed-vertex-count", 3).config_apply_numa("s1", "static-parallel")
+    two = Schedule().config_apply_priority_update("s1", "eager_priority_update_with_merge").config_apply_priority_update_delta("s1", 3).config_bucket_merge_threshold("s1", 10).config_num_open_buckets("s1", 8).config_par_for_grain_size("s1", 16)
+    old = Schedule().set_apply("s1", "pull").set_apply("s1", "num_segment", 2).set_apply("s1", "disable_deduplication").set_vertex_set("s1", "sparse").fuse_fields("s1", "x", "y").fuse_for_loop("s1", "a", "b").split_for_loop("s1", 1, 2).fuse_apply_functions("s1", "f", "g")
+    return [*directions, one, two, old]
+
+
+@query(f"WITH {PC} SELECT i::INTEGER AS schedule, v.id, coalesce(sum(e.weight), 0)::BIGINT AS y FROM (SELECT unnest(range({len(DIRECTIONS) + 3})) AS i) CROSS JOIN v LEFT JOIN e ON e.dst = v.id AND e.src % 3 = 0 GROUP BY i, v.id")
+def schedules(spark, sf):
+    g = part_chain(spark, sf)
+    state = materialize(g.state(y=F.lit(0).cast("long"), active=F.col("id") % 3 == 0))
+    out = None
+    for i, schedule in enumerate(_schedules()):
+        one = EdgeSet(g, schedule.hints("s1")).frontier(g.n // 3).apply(state, [Update("y", lambda s, d, w: w)]).select(F.lit(i).alias("schedule"), "id", "y")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {PCS} SELECT a.kind, (SELECT count(*) FROM es x JOIN es y ON x.dst = y.dst WHERE x.src = 1 AND y.src = 2) AS common FROM (SELECT unnest({list(INTERSECTIONS)}) AS kind) a")
+def intersection_schedules(spark, sf):
+    g = part_chain(spark, sf, True)
+    found = [(kind, intersect_neighbours(g, 1, 2)) for kind in INTERSECTIONS if Schedule().config_intersection("s1", kind).hints("s1").intersection == kind]
+    return spark.createDataFrame(found, "kind string, common long")
+
+
 @query("""SELECT c_custkey AS id, CAST(trunc((c_custkey - 40) / 7) AS BIGINT) AS q, round(ln(c_custkey + 1), 9) AS l, floor(c_acctbal)::BIGINT AS f, abs(c_acctbal) AS a,
 CAST(greatest(trunc(c_acctbal), c_custkey) AS BIGINT) AS m, (c_custkey % 2 = 0) <> (c_custkey % 3 = 0) AS x, CAST(regexp_extract(c_name, '[0-9]+') AS BIGINT) AS i FROM customer""")
 def scalar_functions(spark, sf):
@@ -385,27 +470,79 @@ def triangle_count_by_id(spark, sf):
     return one_row(spark, triangles=F.lit(structure.triangle_count(part_chain(spark, sf, True), False)).cast("long"))
 
 
-@query()
+def _h_index(r: str) -> str:
+    """One round: the h-index of the neighbours' numbers, capped by the own one."""
+    counts = f"SELECT es.dst AS id, p.core AS x, count(*) AS n FROM es JOIN {r} p ON p.id = es.src GROUP BY es.dst, p.core"
+    own = f"SELECT id, max(least(x, c)) AS h FROM (SELECT id, x, sum(n) OVER (PARTITION BY id ORDER BY x DESC) AS c FROM ({counts})) GROUP BY id"
+    return f"SELECT o.id, least(o.core, coalesce(h.h, 0))::BIGINT AS core FROM {r} o LEFT JOIN ({own}) h USING (id)"
+
+
+_CORES = f"WITH {PCS}, {_chain('SELECT v.id, count(es.src) AS core FROM v LEFT JOIN es ON es.src = v.id GROUP BY v.id', _h_index, CORE_ROUNDS)} SELECT * FROM r{CORE_ROUNDS}"
+
+
+@query(_CORES)
 def k_core(spark, sf):
     return structure.k_core(part_chain(spark, sf, True))
 
 
-@query()
+@query(_CORES)
 def k_core_unordered(spark, sf):
     return structure.k_core_unordered(part_chain(spark, sf, True))
 
 
-@query()
+def _independent(r: str) -> str:
+    first = f"SELECT es.dst AS id, min(s.p) AS m FROM es JOIN {r} s ON s.id = es.src AND s.open GROUP BY es.dst"
+    fresh = f"SELECT o.id FROM {r} o LEFT JOIN ({first}) f USING (id) WHERE o.open AND (f.m IS NULL OR o.p < f.m)"
+    return f"""SELECT o.id, o.p, o.chosen OR o.id IN ({fresh}) AS chosen,
+o.open AND o.id NOT IN ({fresh}) AND o.id NOT IN (SELECT dst FROM es WHERE src IN ({fresh})) AS open FROM {r} o"""
+
+
+# priorities that differ: the rank modulo a prime, then the id
+@query(f"WITH {PCS}, {_chain('SELECT id, ((id * 7919) % 10007) * 1000000000 + id AS p, false AS chosen, true AS open FROM v', _independent, SET_ROUNDS)} SELECT id, chosen FROM r{SET_ROUNDS}")
 def maximal_independent_set(spark, sf):
-    return structure.maximal_independent_set(part_chain(spark, sf, True))
+    return structure.maximal_independent_set(part_chain(spark, sf, True), priority=(F.col("id") * 7919) % 10007 * 1000000000 + F.col("id"))
 
 
-@query()
-def minimum_spanning_tree(spark, sf):
-    return structure.minimum_spanning_tree(part_chain(spark, sf, True), ROOT)
+@query(f"WITH {PCS} SELECT (SELECT count(*) FROM v) AS vertices, 0::BIGINT AS linked, 0::BIGINT AS uncovered")
+def independent_set_hashed(spark, sf):
+    """With hashed priorities: no two members are neighbours, and every other vertex has one."""
+    g = part_chain(spark, sf, True)
+    state = materialize(structure.maximal_independent_set(g, 3))
+    members = state.where("chosen").select("id")
+    linked = EdgeSet(g).from_(members).to(members).rows(None)[0].count()
+    reached = EdgeSet(g).from_(members).apply_returning(None, lambda s, d, w: F.lit(True))
+    return one_row(spark, vertices=_long(g.n), linked=_long(linked), uncovered=_long(state.where("not chosen").join(reached, "id", "left_anti").count()))
 
 
-@query()
+@query(f"WITH {PCS}, {_chain('SELECT id, id AS label FROM v', lambda r: f'SELECT o.id, least(o.label, coalesce(m.l, o.label)) AS label FROM {r} o LEFT JOIN (SELECT es.dst AS id, min(p.label) AS l FROM es JOIN {r} p ON p.id = es.src GROUP BY es.dst) m USING (id)', RELAXATIONS)} SELECT count(*) FILTER (label = {ROOT}) AS reached, count(*) FILTER (label = {ROOT}) - 1 AS tree_edges, 0::BIGINT AS not_an_edge, 0::BIGINT AS shorter_by_exchange FROM r{RELAXATIONS}")
+def minimum_spanning_tree(spark, sf):
+    """The tree by its properties: it reaches the root's component with edges of the graph, and the edges
+    lighter than any of its own join nothing that lighter tree edges do not join (so no exchange helps)."""
+    g = part_chain(spark, sf, True)
+    tree = materialize(structure.minimum_spanning_tree(g, ROOT)).where("parent >= 0")
+    own = tree.where("id <> parent").select(F.col("id").alias("src"), F.col("parent").alias("dst"))
+    weighted = materialize(own.join(g.edges, ["src", "dst"]))
+    worse = 0
+    for bound in (2,):
+        light = Graph(normalize(weighted.where(F.col("weight") <= bound), True), g.n, True)
+        label = materialize(structure.connected_components_jumping(light))
+        ends = g.edges.where(F.col("weight") <= bound).join(label.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(label.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst")
+        worse += ends.join(tree.select(F.col("id").alias("src")), "src", "left_semi").where("a <> b").count()
+    return one_row(spark, reached=_long(tree.count()), tree_edges=_long(own.count()), not_an_edge=_long(own.count() - weighted.count()), shorter_by_exchange=_long(worse))
+
+
+def _cover_sql(rounds: int) -> str:
+    """A round of the cover with buckets of powers of two."""
+    parts = [f"WITH {PCS}, t0 AS MATERIALIZED (SELECT src, dst FROM es)"]
+    for i in range(rounds):
+        parts.append(f"n{i} AS MATERIALIZED (SELECT src, floor(log2(count(*)))::BIGINT AS b FROM t{i} GROUP BY src)")
+        parts.append(f"k{i} AS MATERIALIZED (SELECT dst, min(t.src) AS src, any_value(b) AS b FROM t{i} t JOIN n{i} n ON n.src = t.src AND b = (SELECT max(b) FROM n{i}) GROUP BY dst)")
+        parts.append(f"w{i} AS MATERIALIZED (SELECT src FROM k{i} GROUP BY src, b HAVING count(*) >= greatest(ceil(pow(2, b - 1)), 1))")
+        parts.append(f"t{i + 1} AS MATERIALIZED (SELECT src, dst FROM t{i} WHERE dst NOT IN (SELECT dst FROM k{i} WHERE src IN (SELECT src FROM w{i})) AND src NOT IN (SELECT src FROM w{i}))")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT src AS id FROM w{i}" for i in range(rounds))
+
+
+@query(_cover_sql(COVER_ROUNDS))
 def set_cover(spark, sf):
     return structure.set_cover(part_chain(spark, sf, True), 1.0)
 
@@ -453,11 +590,134 @@ def source_tsv(spark, sf):
     return readers.read_graph(spark, _written(spark, part_chain(spark, sf).edges.select(F.concat_ws("\t", "src", "dst", "weight")), ".tsv")).edges
 
 
-@query()
+def _file(spark: SparkSession, data: bytes, suffix: str) -> str:
+    """A file of the shared folder with these bytes."""
+    path = scratch_path(spark, "graph") + suffix
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    out.write(data)
+    out.close()
+    return path
+
+
+@query(f"WITH {PC} SELECT src, dst FROM e")
+def source_el(spark, sf):
+    return readers.read_graph(spark, _written(spark, part_chain(spark, sf).edges.select(F.concat_ws("  ", "src", "dst")), ".el")).edges
+
+
+@query(f"WITH {PC} SELECT src, dst, weight FROM e")
+def source_metis(spark, sf):
+    """Header, a comment, then a line of neighbours and weights for each vertex."""
+    g = part_chain(spark, sf)
+    own = g.edges.groupBy(F.col("src").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dst", "weight"))), lambda x: F.concat_ws(" ", x["dst"] + 1, x["weight"])), " ").alias("t"))
+    lines = g.vertices().join(own, "id", "left").select("id", F.coalesce("t", F.lit("")).alias("t"))
+    head = spark.createDataFrame([(-2, "% a comment"), (-1, f"{g.n} {g.edge_count()} 1")], "id long, t string")
+    return readers.read_graph(spark, _written(spark, head.unionByName(lines).orderBy("id").select("t"), ".graph")).edges
+
+
+@query(f"WITH {PC} SELECT src, dst, weight FROM e")
+def source_matrix_market(spark, sf):
+    g = part_chain(spark, sf)
+    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate integer general"), (1, "% a comment"), (2, f"{g.n} {g.n} {g.edge_count()}")], "k long, t string")
+    lines = head.unionByName(g.edges.select(F.lit(3).cast("long").alias("k"), F.concat_ws(" ", F.col("src") + 1, F.col("dst") + 1, "weight").alias("t")))
+    return readers.read_graph(spark, _written(spark, lines.orderBy("k").select("t"), ".mtx")).edges
+
+
+@query(f"WITH {PC} SELECT src, dst, weight FROM e")
+def source_adjacency(spark, sf):
+    """Name, vertices, edges, offsets, targets, weights; one number a line."""
+    g = part_chain(spark, sf)
+    placed = materialize(global_rank(g.edges, "src", "dst", name="k"))
+    offsets = running_sums(g.out_degrees().select("id", F.col("degree").alias("upto"), F.col("degree").alias("own")), "id", ["upto"])
+    part = lambda df, i, k, t: df.select(F.lit(i).alias("i"), F.col(k).cast("long").alias("k"), F.col(t).cast("string").alias("t"))
+    lines = spark.createDataFrame([(0, 0, "WeightedAdjacencyGraph"), (0, 1, str(g.n)), (0, 2, str(g.edge_count()))], "i int, k long, t string")
+    for more in (part(offsets.withColumn("begin", F.col("upto") - F.col("own")), 1, "id", "begin"), part(placed, 2, "k", "dst"), part(placed, 3, "k", "weight")):
+        lines = lines.unionByName(more)
+    return readers.read_graph(spark, _written(spark, lines.orderBy("i", "k").select("t"), "")).edges
+
+
+#: Binary formats are tried on the edges among so many vertices: the driver makes the file.
+BINARY_IDS = 500
+
+
+def _few(spark: SparkSession, sf: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, src, dst, weight) of the chain's edges among the first vertices, sorted."""
+    rows = part_chain(spark, sf).edges.where(f"src < {BINARY_IDS} and dst < {BINARY_IDS}").orderBy("src", "dst").toPandas()
+    src = rows["src"].to_numpy()
+    return np.searchsorted(src, np.arange(BINARY_IDS + 1)), src, rows["dst"].to_numpy(), rows["weight"].to_numpy()
+
+
+_FEW = f"WITH {PC} SELECT src, dst{{}} FROM e WHERE src < {BINARY_IDS} AND dst < {BINARY_IDS}"
+
+
+def _serialized(offsets: np.ndarray, rows: np.ndarray) -> bytes:
+    return b"\x01" + np.array([len(rows), len(offsets) - 1], "<i8").tobytes() + offsets.astype("<i8").tobytes() + rows.astype("<i4").tobytes()
+
+
+@query(_FEW.format(""))
+def source_sg(spark, sf):
+    offsets, _, dst, _ = _few(spark, sf)
+    return readers.read_graph(spark, _file(spark, _serialized(offsets, dst), ".sg")).edges
+
+
+@query(_FEW.format(", weight"))
+def source_wsg(spark, sf):
+    offsets, _, dst, weight = _few(spark, sf)
+    return readers.read_graph(spark, _file(spark, _serialized(offsets, np.stack([dst, weight], axis=1)), ".wsg")).edges
+
+
+@query(_FEW.format(""))
+def source_csr_arrays(spark, sf):
+    offsets, _, dst, _ = _few(spark, sf)
+    return Graph.from_csr(spark, offsets, dst).edges
+
+
+def _road_file(spark: SparkSession, sf: str) -> str:
+    offsets, _, dst, weight = _few(spark, sf)
+    out = [np.array([readers.ROAD_MAGIC, BINARY_IDS], "<u4").tobytes()]
+    for v in range(BINARY_IDS):
+        a, b = offsets[v], offsets[v + 1]
+        out += [np.array([v / 1000, v / 500], "<f8").tobytes(), np.array([b - a], "<u4").tobytes(), dst[a:b].astype("<u4").tobytes(), ((weight[a:b] + 0.5) / readers.ROAD_CM).astype("<f8").tobytes()]
+    return _file(spark, b"".join(out), ".bin")
+
+
+@query(_FEW.format(", weight"))
+def source_road(spark, sf):
+    return readers.read_graph(spark, _road_file(spark, sf)).edges
+
+
+@query(f"SELECT i AS id, i / 1000.0::DOUBLE AS lat, i / 500.0::DOUBLE AS lon FROM (SELECT unnest(range({BINARY_IDS})) AS i)")
+def source_road_coordinates(spark, sf):
+    return readers.road_coordinates(spark, _road_file(spark, sf))
+
+
+def _generated(spark: SparkSession, graph: Graph, most: int) -> DataFrame:
+    """What every generated graph has: both directions of each edge, once, no loops, ids in range."""
+    e = materialize(graph.edges.select("src", "dst"))
+    return one_row(
+        spark, n=_long(graph.n), loops=_long(e.where("src = dst").count()), repeats=_long(e.count() - e.distinct().count()),
+        one_way=_long(e.join(e.selectExpr("dst src", "src dst"), ["src", "dst"], "left_anti").count()),
+        outside=_long(e.where(f"src < 0 or dst < 0 or src >= {graph.n} or dst >= {graph.n}").count()), within=F.lit(most // 2 < e.count() <= most),
+    )
+
+
+_GENERATED = "SELECT 1024::BIGINT AS n, 0::BIGINT AS loops, 0::BIGINT AS repeats, 0::BIGINT AS one_way, 0::BIGINT AS outside, true AS within"
+
+
+@query(_GENERATED)
 def source_uniform(spark, sf):
-    return generators.uniform(spark, 10, 8).edges
+    return _generated(spark, generators.uniform(spark, 10, 8), 16 << 10)
 
 
-@query()
+@query(_GENERATED)
 def source_rmat(spark, sf):
-    return generators.random_weights(generators.rmat(spark, 10, 8).edges)
+    return _generated(spark, generators.rmat(spark, 10, 8), 16 << 10)
+
+
+@query(f"WITH {PCS} SELECT count(*) AS m, 0::BIGINT AS outside, 0::BIGINT AS differ FROM es")
+def random_weights(spark, sf):
+    """Weights of 1 to 255, the same for both directions of an edge."""
+    e = materialize(generators.random_weights(part_chain(spark, sf, True).edges))
+    back = e.selectExpr("dst src", "src dst", "weight back")
+    return one_row(spark, m=_long(e.count()), outside=_long(e.where("weight < 1 or weight > 255").count()), differ=_long(e.join(back, ["src", "dst"]).where("weight <> back").count()))
