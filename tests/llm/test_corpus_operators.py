@@ -71,8 +71,20 @@ def test_simhash_groups(docs, corpus, none):
     got = {r["doc_id"]: (r["fp"] % 2**64, r["component_id"]) for r in simhash.groups(docs).collect()}
     assert got == {i: (fp[i], component[i]) for i in fp}
     assert simhash.groups(none).count() == 0
-    kept = simhash.deduplicate(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(component.values())
+
+
+def test_simhash_rows_without_id_and_repeats(spark, none):
+    """Null ids, equal rows, one id on two texts, and names that the operator uses itself."""
+    texts = [" ".join(f"{k}w{j}" for j in range(30)) for k in range(4)]
+    rows = [(5, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[2]), (9, texts[3]), (9, texts[2] + " x"), (4, None), (3, "")]
+    df = spark.createDataFrame([(i, t, 1, "m", [0]) for i, t in rows], "doc_id long, text string, id int, mark string, bands array<int>")
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.groups(df).collect())
+    assert got.total() == 10 and got[None, 5] == 1 and got[None, None] == 2 and got[7, 7] == 2 and got[4, 3] == 1
+    kept = simhash.deduplicate(df, 5)
+    assert kept.columns == df.columns
+    left = sorted((str(r["doc_id"]), r["text"]) for r in kept.collect())
+    assert left == sorted([("5", texts[0]), ("None", texts[1]), ("7", texts[2]), ("3", "")])
+    assert simhash.deduplicate(none, 5).columns == none.columns and simhash.deduplicate(none, 5).count() == 0
 
 
 def test_wide_radius_finds_similar_texts(spark):
@@ -121,6 +133,19 @@ def test_large_key_groups(monkeypatch):
     for split in (0, 2):
         links = {frozenset(x) for x in simhash._forest(fp, 3, split)}
         assert classes(range(len(fp)), lambda a, b: frozenset((a, b)) in links) == want
+    key = np.stack([fp.astype(np.int64) >> 36, np.zeros(len(fp), np.int64)], axis=1)
+    calls = []
+    real = simhash._Distances.add
+    monkeypatch.setattr(simhash._Distances, "add", lambda self, planes: (calls.append(len(planes)), real(self, planes)))
+    order = np.argsort(key[:, 0], kind="stable")
+    a, b = simhash._group_links(key[order], fp[order], np.arange(len(fp)), 3)
+    links = {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)}
+    own = fp[order]
+    assert classes(range(len(fp)), lambda i, j: frozenset((i, j)) in links) == classes(range(len(fp)), lambda i, j: int(own[i]) >> 36 == int(own[j]) >> 36 and (int(own[i]) ^ int(own[j])).bit_count() <= 3)
+    assert calls  # every comparison goes through the vertical counters
+    for shift in (1, 3, 8, 9, 17):
+        meet = np.ones(len(fp) - shift, dtype=bool)
+        assert simhash.within_shift(simhash.planes(fp), shift, meet, 31).tolist() == [i for i in range(len(fp) - shift) if (int(fp[i]) ^ int(fp[i + shift])).bit_count() <= 31]
     vertical = simhash.planes(fp)
     assert simhash.within(vertical, len(fp), int(fp[5])).tolist() == [j for j in range(len(fp)) if (int(fp[5]) ^ int(fp[j])).bit_count() <= 3]
 

@@ -30,8 +30,11 @@ BITS = 64
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-#: Key groups up to this size are compared by shifting the sorted rows; larger ones by bit planes.
-SMALL_GROUP = 24
+#: Key groups up to this size share bit planes, which are compared with themselves shifted by 1, 2, ... lanes;
+#: larger ones have planes of their own, which are compared with one fingerprint after the other.
+SHARED_GROUP = 64
+#: Bytes of lanes (eight to a byte) that are abandoned together.
+BLOCK = 64
 #: A larger key group is split again on its remaining bits.
 LARGE_GROUP = 1 << 14
 #: Candidates of similar texts: pairs of similarity 0.8 are 10 bits apart on average (deviation 3), so none is
@@ -109,8 +112,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def sketches(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
-    """(doc_id, fp, mark, bands) over the sets of shingles: one row for each input row. Equal sets have equal marks."""
+def sketches(rows: DataFrame, shingle: int, bands: int) -> DataFrame:
+    """(id, fp, mark, bands) for (id, text), over the sets of shingles. Equal sets have equal marks."""
 
     def run(batches):
         claim("simhash")
@@ -118,9 +121,9 @@ def sketches(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
             hashed = _distinct(*_hashes(texts, shingle))
             keys = _bands(*hashed, bands).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(_fingerprints(*hashed).view(np.int64)), pa.array(_set_marks(*hashed).view(np.int64)), lists], ["doc_id", "fp", "mark", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(_fingerprints(*hashed).view(np.int64)), pa.array(_set_marks(*hashed).view(np.int64)), lists], ["id", "fp", "mark", "bands"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long, mark long, bands array<long>")
+    return rows.select("id", "text").mapInArrow(run, "id long, fp long, mark long, bands array<long>")
 
 
 def key_blocks(distinct: int, radius: int = RADIUS) -> int:
@@ -146,24 +149,64 @@ def planes(fp: np.ndarray) -> np.ndarray:
     return np.packbits(bits.T, axis=1, bitorder="little")
 
 
-def within(vertical: np.ndarray, n: int, probe: int, radius: int = RADIUS) -> np.ndarray:
-    """Lanes of ``vertical`` whose distance to ``probe`` is at most ``radius``.
+class _Distances:
+    """Vertical counters of many lanes' distances; ``over`` latches lanes that are out, by distance or beforehand.
 
-    Carry-save counters hold every lane's distance in vertical digits; ``over`` latches lanes beyond the
-    radius, and the block is abandoned when all lanes are over. radius + 1 must be a power of two.
+    Carry-save: planes of differing bits are added digit by digit. Blocks whose lanes are all out are
+    abandoned. radius + 1 must be a power of two.
     """
-    digits = (radius + 1).bit_length() - 1
-    count = np.zeros((digits, vertical.shape[1]), np.uint8)
-    over = np.zeros(vertical.shape[1], np.uint8)
-    for bit in range(BITS):
-        carry = ~vertical[bit] if probe >> bit & 1 else vertical[bit]
-        for d in range(digits):
-            count[d], carry = count[d] ^ carry, count[d] & carry
-        over |= carry
-        if bit % 8 == 7 and (over == 0xFF).all():
-            return np.zeros(0, np.int64)
-    lanes = np.unpackbits(~over, bitorder="little")[:n]
-    return np.flatnonzero(lanes)
+
+    def __init__(self, over: np.ndarray, radius: int):
+        blocks = -(-len(over) // BLOCK)
+        self.size, self.blocks = len(over), blocks
+        self.over = np.full((blocks, BLOCK), 0xFF, np.uint8)
+        self.over.reshape(-1)[: len(over)] = over
+        self.live = np.flatnonzero((self.over != 0xFF).any(axis=1))
+        self.count = np.zeros(((radius + 1).bit_length() - 1, len(self.live), BLOCK), np.uint8)
+
+    def add(self, differ: np.ndarray) -> None:
+        """Some planes (planes, bytes) of differing bits."""
+        wide = np.zeros((len(differ), self.blocks * BLOCK), np.uint8)
+        wide[:, : self.size] = differ
+        wide = wide.reshape(len(differ), self.blocks, BLOCK)[:, self.live]
+        over = self.over[self.live]
+        for carry in wide:
+            for d in range(len(self.count)):
+                self.count[d], carry = self.count[d] ^ carry, self.count[d] & carry
+            over |= carry
+        self.over[self.live] = over
+        keep = (over != 0xFF).any(axis=1)
+        self.live, self.count = self.live[keep], self.count[:, keep]
+
+    def lanes(self, n: int) -> np.ndarray:
+        return np.flatnonzero(np.unpackbits(~self.over.reshape(-1)[: self.size], bitorder="little")[:n])
+
+
+def within(vertical: np.ndarray, n: int, probe: int, radius: int = RADIUS) -> np.ndarray:
+    """Lanes of ``vertical`` whose distance to ``probe`` is at most ``radius``."""
+    found = _Distances(np.zeros(vertical.shape[1], np.uint8), radius)
+    flip = np.array([0xFF if probe >> bit & 1 else 0 for bit in range(BITS)], np.uint8)[:, None]
+    for bit in range(0, BITS, 8):
+        if not len(found.live):
+            break
+        found.add(vertical[bit : bit + 8] ^ flip[bit : bit + 8])
+    return found.lanes(n)
+
+
+def within_shift(vertical: np.ndarray, shift: int, meet: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Lanes i, of those that ``meet``, whose distance to lane i + shift is at most ``radius``."""
+    n = len(meet)
+    found = _Distances(~np.packbits(meet, bitorder="little"), radius)
+    low, odd = divmod(shift, 8)
+    for bit in range(0, BITS, 8):
+        if not len(found.live):
+            break
+        own = vertical[bit : bit + 8]
+        moved = np.zeros((own.shape[0], own.shape[1] + low + 2), np.uint8)
+        moved[:, : own.shape[1]] = own
+        one, two = moved[:, low : low + own.shape[1]], moved[:, low + 1 : low + 1 + own.shape[1]]
+        found.add((own ^ ((one >> odd) | (two << (8 - odd)) if odd else one))[:, : found.size])
+    return found.lanes(n)
 
 
 def _forest(fp: np.ndarray, radius: int, split: int = 0) -> list[tuple[int, int]]:
@@ -196,13 +239,10 @@ def _forest(fp: np.ndarray, radius: int, split: int = 0) -> list[tuple[int, int]
             alive[rest[0]] = False
             rest = rest[1:]
         i = queue.pop()
-        if len(rest) <= 512:
-            near = rest[np.bitwise_count(fp[rest] ^ fp[i]) <= radius]
-        else:
-            if 2 * len(rest) < len(lanes):
-                packed, lanes = planes(fp[rest]), rest
-            near = lanes[within(packed, len(lanes), int(fp[i]), radius)]
-            near = near[alive[near]]
+        if 2 * len(rest) < len(lanes):
+            packed, lanes = planes(fp[rest]), rest
+        near = lanes[within(packed, len(lanes), int(fp[i]), radius)]
+        near = near[alive[near]]
         if len(near):
             alive[near] = False
             found += [(i, int(j)) for j in near]
@@ -216,15 +256,18 @@ def _group_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int)
     cuts = np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1
     first = np.concatenate([[0], cuts])
     size = np.diff(np.concatenate([first, [len(fp)]]))
-    group = np.repeat(np.arange(len(size)), size)
-    small = np.repeat(size <= SMALL_GROUP, size)
+    shared = np.repeat((size > 1) & (size <= SHARED_GROUP), size)
+    group, own, name = np.repeat(np.arange(len(size)), size)[shared], fp[shared], rep[shared]
     a, b = [], []
-    for shift in range(1, min(SMALL_GROUP, int(size.max(initial=1)))):
-        i = np.flatnonzero((group[shift:] == group[:-shift]) & small[shift:])
-        near = i[np.bitwise_count(fp[i] ^ fp[i + shift]) <= radius]
-        a.append(rep[near])
-        b.append(rep[near + shift])
-    for g in np.flatnonzero(size > SMALL_GROUP):
+    vertical = planes(own)
+    for shift in range(1, SHARED_GROUP):
+        meet = group[shift:] == group[:-shift]
+        if not meet.any():
+            break
+        near = within_shift(vertical, shift, meet, radius)
+        a.append(name[near])
+        b.append(name[near + shift])
+    for g in np.flatnonzero(size > SHARED_GROUP):
         lo = first[g]
         for i, j in _forest(fp[lo : lo + size[g]], radius):
             a.append(rep[[lo + i]])
@@ -310,22 +353,20 @@ def _alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
-def _verified(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, shingle: int) -> DataFrame:
+def _verified(rows: DataFrame, distinct: DataFrame, candidates: DataFrame, shingle: int) -> DataFrame:
     """(a, b): representatives of texts of similarity 0.8, spanning all such links within a component of candidates."""
-    members = distinct.join(candidates.withColumnRenamed("id", "rep"), "rep").select(F.col("rep").alias("doc_id"), "mark", "component")
+    members = distinct.join(candidates.withColumnRenamed("id", "rep"), "rep").select(F.col("rep").alias("id"), "component")
 
     def hashed(batches):
         claim("simhash")
         for batch in batches:
             at = 0
-            for ids, texts in pieces(iter([batch.select(["doc_id", "text"])]), 1 << 20):
+            for ids, texts in pieces(iter([batch.select(["id", "text"])]), 1 << 20):
                 rest = batch.slice(at, len(ids))
                 at += len(ids)
                 sets = _distinct(*_hashes(texts, shingle))
-                # an id can stand on several texts
-                same = pa.array(_set_marks(*sets).view(np.int64) == rest.column("mark").to_numpy(zero_copy_only=False))
                 lists = pa.ListArray.from_arrays(pa.array(sets[1], pa.int32()), pa.array(sets[0].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([rest.column("component"), ids, lists], ["component", "rep", "shingles"]).filter(same)
+                yield pa.RecordBatch.from_arrays([rest.column("component"), ids, lists], ["component", "rep", "shingles"])
 
     def run(batches):
         claim("simhash")
@@ -346,37 +387,65 @@ def _verified(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, shing
                 sets.append(flat[edge[k] : edge[k + 1]])
         yield from told()
 
-    texts = id_text(docs).join(members, "doc_id").select("doc_id", "text", "mark", "component")
+    texts = rows.join(members, "id").select("id", "text", "component")
     dealt = texts.mapInArrow(hashed, "component long, rep long, shingles array<long>").repartition("component").sortWithinPartitions("component", "rep")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _classes(marks: DataFrame, key: str, own: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, class): ``own`` names each key's representative, ``found`` links representatives; an id that stands
+    on several keys links them too."""
+    ids = marks.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("_least"), F.max(key).alias("_most")).where("_least <> _most").drop("_most")
+    several = marks.join(ids, "doc_id").select(key, F.col("_least")).distinct()
+    several = several.join(own.select(key, F.col("rep").alias("a")), key).join(own.select(F.col(key).alias("_least"), F.col("rep").alias("b")), "_least")
+    label = components(found.unionByName(several.select("a", "b"))).withColumnRenamed("id", "rep")
+    return own.join(label, "rep", "left").select(key, F.coalesce("component", "rep").alias("class"))
+
+
+def _similar(rows: DataFrame, shingle: int, radius: int, bands: int) -> DataFrame:
+    """(id, doc_id, fp, class) for written ``rows(id, doc_id, text)`` whose ids differ: classes of similar texts."""
+    marks = materialize(sketches(rows, shingle, bands), "sketches")
+    distinct = materialize(marks.groupBy("mark").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
+    found = _verified(rows, distinct, components(links(distinct, radius, True)), shingle)
+    named = materialize(marks.select("id", "fp", "mark").join(rows.select("id", "doc_id"), "id"), "named")
+    return named.join(_classes(named, "mark", distinct.select("mark", "rep"), found), "mark").select("id", "doc_id", "fp", "class")
+
+
+def _numbered(docs: DataFrame, columns: list) -> DataFrame:
+    """Written rows with a number of their own: equal rows and rows without an id can be told apart."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns), "numbered")
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bands: int = 0) -> DataFrame:
-    """(doc_id, fp, component_id) for each input row with an id.
+    """(doc_id, fp, component_id) for each input row.
 
     component_id is the smallest doc_id reachable over links of at most ``radius`` bits, itself included;
     with ``bands``, over links of texts whose sets of shingles have Jaccard similarity 0.8 or more. Rows without
-    an id take no part; a repeated id keeps a row for each of its rows; an empty table gives none. Null and
-    empty texts share fingerprint zero and link like any other; with ``bands``, only with each other.
+    an id link like any other; a group of such rows alone has a null component_id. A repeated id keeps a row
+    for each of its rows, whose texts all reach each other; an empty table gives none. Null and empty texts
+    share fingerprint zero and link like any other; with ``bands``, only with each other. Texts of any length
+    are read whole; extra columns are ignored.
     """
-    known = docs.where("doc_id is not null")
     if bands:
-        key, marks = "mark", materialize(sketches(known, shingle, bands), "sketches")
-        distinct = materialize(marks.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
-        found = _verified(known, distinct, components(links(distinct, radius, True)), shingle)
+        named, key = _similar(_numbered(docs, []), shingle, radius, bands), "class"
+        named = materialize(named, "classes")
     else:
-        key, marks = "fp", materialize(fingerprints(known, shingle), "fingerprints")
-        distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-        found = links(distinct, radius)
-    # one id can stand on texts of different fingerprints: those fingerprints are reachable from each other
-    own = distinct.select(key, "rep")
-    several = marks.join(own, key).where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
-    label = components(found.unionByName(several.select("a", "b"))).withColumnRenamed("id", "rep")
-    classes = own.join(label, "rep", "left").select(key, F.coalesce("component", "rep").alias("component_id"))
-    return marks.join(classes, key).select("doc_id", "fp", "component_id")
+        marks, key = materialize(fingerprints(docs, shingle), "fingerprints"), "class"
+        distinct = materialize(marks.select("fp", F.col("fp").alias("rep")).distinct(), "distinct")
+        named = marks.join(_classes(marks, "fp", distinct, links(distinct, radius)), "fp")
+    least = named.groupBy(key).agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, key).select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bands: int = 0) -> DataFrame:
-    """``docs`` with one document of each group: the smallest id. Rows without an id stay."""
-    found = groups(docs, shingle, radius, bands).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = WIDE_RADIUS, bands: int = BANDS) -> DataFrame:
+    """``docs`` with one row of each group of similar texts: that with the smallest id.
+
+    Of rows with that id, and of rows without an id where no other is in the group, one stays. All columns,
+    whatever their names, come out as they went in.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = _numbered(docs, [whole])
+    named = _similar(rows, shingle, radius, bands)
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "id")
+    stays = named.groupBy("class").agg(F.min(order).alias("o")).select(F.col("o.id").alias("id"))
+    return rows.join(stays, "id", "left_semi").select("whole.*")
