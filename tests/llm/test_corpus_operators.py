@@ -170,25 +170,32 @@ def test_decontamination(spark, docs, corpus, none):
         items.append((k, " ".join(w[at : at + 15]).upper()))
     items += [(10, "none of these words occur anywhere here at all"), (11, "one TWO"), (12, ""), (13, None), (14, items[0][1]), (14, items[0][1])]
 
-    def shingles(t):
+    def words_of(t):
         import regex
 
-        w = [x for x in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if x]
-        return {" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+        return [x for x in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if x]
 
+    w = texts[30].split()
+    items += [(15, " ".join(w[7:10])), (16, w[3])]
     want = {}
     for i, t in corpus:
-        own = shingles(t)
         for k, q in items:
-            s = shingles(q)
+            q = words_of(q)
+            n = min(5, len(q))
+            own, s = ({" ".join(x[j : j + n]) for j in range(len(x) - n + 1)} if n else set() for x in (words_of(t), q))
             if s and len(s & own) >= 0.8 * len(s):
                 want[i, k] = (len(s & own), len(s))
+    assert any(k == 15 for _, k in want) and any(k == 16 for _, k in want)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["n_shared"], r["n_item"]) for r in decontaminate.contaminated(docs, bench).collect()}
     assert got == want and any(k == 11 for _, k in want)
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(docs, bench.where("false")).count() == 0
     kept = {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()}
     assert kept == {i for i, _ in corpus} - {i for i, _ in want}
+    hit = next(t for i, t in corpus if any((i, k) in want for k in range(4)))
+    more = spark.createDataFrame([(None, hit, 1, "k"), (None, None, 2, "k"), (1, "x y", 3, "k")], "doc_id long, text string, item_id int, key string")
+    left = decontaminate.clean(more, bench)
+    assert left.columns == more.columns and sorted(r["item_id"] for r in left.collect()) == [2, 3]
 
 
 def test_nearest(spark):

@@ -3,14 +3,12 @@
 Items are partitioned by their number of distinct shingles. In each partition an item is searched by the
 MinHash sketch (its smallest shingle hashes) just long enough that a document which holds the asked share of
 the item must hold one of the sketch: an item of s shingles that may miss s - r of them needs s - r + 1.
-So long documents need no signature at all, and the search misses nothing. Candidates are then verified by
-exact containment of the shingle strings.
+So long documents need no signature at all, and the search misses nothing. An item of fewer words than a
+shingle is one shingle of all its words. Candidates are then verified by exact containment of the strings.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,43 +40,84 @@ def shingles(w: Column, k: int = SHINGLE) -> Column:
     return F.array_distinct(let(w, lambda w: F.transform(_spots(w, k), lambda i: F.concat_ws(" ", F.slice(w, i, F.lit(k))))))
 
 
+def _sized(items: DataFrame, k: int) -> DataFrame:
+    """(item_id, w, k): words of the items that have any, and the length of their shingles: k words, or all."""
+    own = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    return own.withColumn("k", F.least(F.size("w"), F.lit(k)))
+
+
+def _by_length(w: Column, k: Column, lengths: list[int], shingled) -> Column:
+    """``shingled(w, n)`` for the row's own shingle length n, one of ``lengths``."""
+    out = None
+    for n in lengths:
+        out = F.when(k == n, shingled(w, n)) if out is None else out.when(k == n, shingled(w, n))
+    return out
+
+
 def sketches(items: DataFrame, k: int = SHINGLE, share: float = CONTAINMENT) -> DataFrame:
-    """(item_id, h): the MinHash sketch of each item, its length set by the item's size partition."""
-    sized = items.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(words(F.col("text")), k))).alias("hashes"))
-    sized = sized.withColumn("size", F.size("hashes")).where("size > 0")
+    """(item_id, k, h): the MinHash sketch of each item, its length set by the item's size partition."""
+    every = list(range(1, k + 1))
+    hashes = _by_length(F.col("w"), F.col("k"), every, shingle_hashes)
+    sized = _sized(items, k).select("item_id", "k", F.array_sort(F.array_distinct(hashes)).alias("hashes")).withColumn("size", F.size("hashes"))
     # partitions by powers of two; a sketch is as long as the partition's largest size asks for
     top = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("size")))).cast("int")
     most = F.floor(top * F.lit(1 - share) + F.lit(1e-9)).cast("int") + 1
-    return sized.select("item_id", F.explode(F.slice("hashes", F.lit(1), F.least(F.col("size"), most))).alias("h"))
+    return sized.select("item_id", "k", F.explode(F.slice("hashes", F.lit(1), F.least(F.col("size"), most))).alias("h"))
+
+
+def _contaminated(docs: DataFrame, items: DataFrame, k: int, share: float) -> DataFrame:
+    """(key, item_id, n_shared, n_item, containment) of all pairs, for ``docs(key, text)``."""
+    table = materialize(sketches(items, k, share), "sketches")
+    figures = table.agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_set("k")).alias("lengths")).first()  # at most k lengths
+    lengths, small = figures["lengths"] or [k], figures["rows"] <= BROADCAST_ROWS
+    # a document is read once, with a set of hashes for each shingle length that an item has
+    each = lambda w: F.flatten(F.array(*[_named(w, n) for n in lengths]))
+    probe = docs.select("key", F.explode(let(words(F.col("text")), each)).alias("s")).select("key", "s.k", "s.h")
+    found = probe.join(F.broadcast(table) if small else table, ["k", "h"]).select("key", "item_id", "k").distinct()
+    pairs = materialize(found, "pairs")
+    # only the texts of candidates are read again: by a broadcast of pairs of a checked number, else by a join
+    few = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    exact = _sized(items, k).select("item_id", _by_length(F.col("w"), F.col("k"), lengths, shingles).alias("item"))
+    hits = docs.join(F.broadcast(pairs) if few else pairs, "key")
+    own = _by_length(F.col("w"), F.col("k"), lengths, shingles)
+    hits = hits.select("key", "item_id", "k", words(F.col("text")).alias("w")).select("key", "item_id", own.alias("doc"))
+    hits = hits.join(exact, "item_id").select("key", "item_id", F.size(F.array_intersect("item", "doc")).cast("long").alias("n_shared"), F.size("item").cast("long").alias("n_item"))
+    best = hits.groupBy("key", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
+    best = best.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= share - 1e-12)
+    # an item id can stand on several texts: the best counts
+    return best.groupBy("key", "item_id").agg(F.max_by(F.struct("n_shared", "n_item", "containment"), F.struct("containment", "n_item")).alias("b")).select("key", "item_id", "b.*")
+
+
+def _whole(w: Column, k: int) -> Column:
+    """Hashes of the shingles of k words, none if the text is shorter."""
+    return F.when(F.size(w) >= k, shingle_hashes(w, k)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _named(w: Column, k: int) -> Column:
+    return F.transform(F.array_distinct(_whole(w, k)), lambda h: F.struct(F.lit(k).alias("k"), h.alias("h")))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, k: int = SHINGLE, share: float = CONTAINMENT) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) of all pairs with containment >= share.
 
-    Shingles of k words, as sets. Items without words match nothing; shorter than k words, they match only
-    documents that consist of the same words. Rows without ids take no part; equal rows count once; texts of
-    one id are judged each by itself and the best counts.
+    Shingles of k words, as sets; an item of fewer words has one, of all its words, and is found wherever they
+    stand in a row. Items without words match nothing. Pairs need ids: rows without one are reported by
+    :func:`clean` alone. Equal rows count once; texts of one id are judged each by itself and the best counts.
+    Empty tables give no rows; texts of any length are read whole; extra columns are ignored.
     """
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    table = materialize(sketches(items, k, share), "sketches")
-    small = table.count() <= BROADCAST_ROWS
-    probe = docs.select("doc_id", F.explode(shingle_hashes(words(F.col("text")), k)).alias("h"))
-    pairs = probe.join(F.broadcast(table) if small else table, "h").select("doc_id", "item_id").distinct()
-    exact = items.select("item_id", shingles(words(F.col("text")), k).alias("item"))
-    hits = docs.join(pairs, "doc_id").select("doc_id", "item_id", shingles(words(F.col("text")), k).alias("doc"))
-    hits = hits.join(exact, "item_id").select("doc_id", "item_id", F.size(F.array_intersect("item", "doc")).cast("long").alias("n_shared"), F.size("item").cast("long").alias("n_item"))
-    best = hits.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
-    return best.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= share - 1e-12)
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+    items = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    return _contaminated(docs, items, k, share).withColumnRenamed("key", "doc_id")
 
 
 def clean(docs: DataFrame, items: DataFrame, k: int = SHINGLE, share: float = CONTAINMENT) -> DataFrame:
-    """``docs`` without those that hold a benchmark item. Rows without an id stay."""
-    found = contaminated(docs, items, k, share).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows that hold a benchmark item, and the rows of an id one of whose texts does.
 
-
-def sketch_length(size: int, share: float = CONTAINMENT) -> int:
-    """Length of the sketch of an item with ``size`` distinct shingles."""
-    top = 2 ** math.ceil(math.log2(size)) if size else 0
-    return min(size, math.floor(top * (1 - share) + 1e-9) + 1)
+    A row without an id is judged by its own text, an item without an id counts too. All columns, whatever
+    their names, come out as they went in.
+    """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
+    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    texts = items.select(F.col("text").cast("string").alias("text")).distinct().select(F.xxhash64("text").alias("item_id"), "text")
+    found = _contaminated(rows.select("key", F.col("whole.text").cast("string").alias("text")), texts, k, share).select("key").distinct()
+    return rows.join(found, "key", "left_anti").select("whole.*")

@@ -72,13 +72,13 @@ WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text,
            FROM documents WHERE doc_id IS NOT NULL),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
       FROM benchmark WHERE item_id IS NOT NULL),
-d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
-      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
-q AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
-      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+q AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+      FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, least(len(w), 5) AS k FROM b) WHERE len(w) > 0)),
+d AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+      FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w CROSS JOIN (SELECT DISTINCT k FROM q) WHERE len(w) >= k)),
 n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item)::DOUBLE AS containment
-FROM d JOIN q USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_item) - 1e-9
+FROM d JOIN q USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_item) - 1e-9
 """
 
 

@@ -31,13 +31,15 @@ BYTE_WEIGHT = -12.0
 #: Lattice edges a task remembers before it starts afresh.
 REMEMBER = 1_200_000
 TABLE_BITS = 20
+#: Thresholds and random numbers have 53 bits.
+FULL = 1 << 53
 
 
 class Lattices:
     """Chunks' lattices after forward filtering, laid end to end for vectorised backward sampling.
 
     State s (a chunk's prefix) has the edges from ``begin[s]`` on, whose ``until`` are the cumulative
-    posterior probabilities of the last piece, up to 1. ``back`` is the state before the piece; ``origin``
+    posterior probabilities of the last piece as integers, up to FULL. ``back`` is the state before the piece; ``origin``
     marks the states before any piece.
     """
 
@@ -89,7 +91,7 @@ class Lattices:
     def reset(self) -> None:
         self.final: dict[str, int] = {}
         self.states = 0
-        self.until: list[np.ndarray] = [np.zeros(0)]
+        self.until: list[np.ndarray] = [np.zeros(0, np.uint64)]
         self.piece: list[np.ndarray] = [np.zeros(0, np.int32)]
         self.back: list[np.ndarray] = [np.zeros(0, np.int32)]
         self.begin: list[np.ndarray] = [np.zeros(0, np.int32)]
@@ -164,12 +166,15 @@ class Lattices:
             total = np.add.reduceat(part, seg)
             forward[target[own[seg]]] = top + np.log(total)
             share[own] = part / np.repeat(total, many)
-        run = np.cumsum(share)
         new = np.concatenate([[True], np.diff(target) != 0]) if len(target) else np.zeros(0, dtype=bool)
         seg = np.flatnonzero(new)
         many = np.diff(np.append(seg, len(target)))
-        inside = run - np.repeat(run[seg] - share[seg], many)
-        inside[seg + many - 1] = 1.0  # a state's last edge ends its interval
+        # running sums inside each state, edge by edge: they depend on the chunk alone, not on its neighbours
+        for j in range(1, int(many.max(initial=1))):
+            at = seg[many > j] + j
+            share[at] += share[at - 1]
+        inside = (np.minimum(share, 1.0) * float(FULL)).astype(np.uint64)
+        inside[seg + many - 1] = FULL  # a state's last edge ends its interval
         self.until.append(inside)
         first_edge = np.zeros(units + len(chunks), np.int32)
         first_edge[target[seg]] = len(self.piece[0]) + seg
@@ -208,7 +213,7 @@ class Lattices:
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         step = 0
         while len(who):
-            u = (mix64(key + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            u = mix64(key + np.uint64(step)) >> np.uint64(11)
             edge = begin[state]
             late = np.flatnonzero(until[edge] <= u)
             while len(late):
