@@ -249,8 +249,13 @@ def test_quality(spark, none):
     got = {r["doc_id"]: r for r in quality.classify(df, labels).collect()}
     assert all(got[r[0]]["keep"] for r in good) and not any(got[r[0]]["keep"] for r in junk)
     assert got[2000]["keep"] and got[2001]["keep"] and got[None]["keep"]
-    kept = quality.accept(df.drop("perplexity"), labels)
-    assert kept.columns == ["doc_id", "text", "lang"] and kept.count() == len(good) + len(odd)
+    kept = quality.accept(df.withColumn("keep", F.lit("k")).withColumn("threshold", F.lit(1)).withColumn("a.b", F.lit(2)), labels)
+    assert kept.columns == ["doc_id", "text", "lang", "perplexity", "keep", "threshold", "a.b"] and kept.count() == len(good) + len(odd)
+    assert {tuple(r)[3:] for r in kept.collect()} == {(1.0, "k", 1, 2)}
+    short = spark.createDataFrame([(3000, "XQ#$%&*9X", "en")], "doc_id long, text string, lang string")
+    both = df.drop("perplexity").unionByName(short)
+    assert quality.classify(both, labels).where("doc_id = 3000").first()["keep"]
+    assert not quality.classify(both, labels, least_chars=0).where("doc_id = 3000").first()["keep"]
     assert quality.classify(none, labels).count() == 0
     assert quality.classify(df, labels.where("false")).where("not keep").count() == 0
 
@@ -297,4 +302,53 @@ def test_model_is_a_distribution():
         counts.insert(0, c)
     p = np.exp(quality.Model(np.zeros(1 << 16, np.uint8), keys, counts).log_probabilities()).reshape(-1, size).sum(axis=1)
     assert np.allclose(p, 1, atol=1e-3)
-    assert F is not None
+
+
+def test_perplexities_by_hand(spark):
+    """Modified Kneser-Ney from its definition, with dictionaries, over the fitted sample."""
+    rng = random.Random(12)
+    texts = {i: "".join(rng.choice("ab cdé.") for _ in range(rng.randint(30, 90))) for i in range(40)} | {90: "Ж" * 30 + "ΩΨ", 91: "b"}
+    df = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
+    model = quality.fit(df, spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int"))
+    symbols = lambda t: [int(model.table[ord(c)]) for c in "   " + t]
+    raw_counts = {}
+    for i in range(40):
+        x = symbols(texts[i])
+        for k in range(len(x) - 3):
+            raw_counts[tuple(x[k : k + 4])] = raw_counts.get(tuple(x[k : k + 4]), 0) + 1
+    counts = {4: raw_counts}
+    for n in (3, 2, 1):
+        counts[n] = {}
+        for g in counts[n + 1]:
+            counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+    discount = {}
+    for n, own in counts.items():
+        n1, n2, n3, n4 = (max(sum(c == k for c in own.values()), 1) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        discount[n] = [0] + [min(max(d, 0.1), k) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+
+    def p(g):
+        if not g:
+            return 1 / quality.ALPHABET
+        n, same = len(g), [(h, c) for h, c in counts[len(g)].items() if h[:-1] == g[:-1]]
+        total = sum(c for _, c in same)
+        if not total:
+            return p(g[1:])
+        d = discount[n]
+        c = counts[n].get(g, 0)
+        return (c - d[min(c, 3)]) / total + sum(d[min(c, 3)] for _, c in same) / total * p(g[1:])
+
+    got = {r["doc_id"]: r["perplexity"] for r in quality.perplexities(df, model, ["doc_id"]).collect()}
+    for i, t in list(texts.items())[::6] + [(90, texts[90]), (91, "b")]:
+        x = symbols(t)
+        want = math.exp(-sum(math.log(p(tuple(x[k : k + 4]))) for k in range(len(t))) / len(t))
+        assert got[i] == pytest.approx(want, rel=1e-4), i
+
+
+def test_sample_is_thinned_before_it_is_ranked(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_DOCS", 20)
+    df = spark.range(2000).selectExpr("id doc_id", "concat('text ', id) text", "'en' lang")
+    ids = df.select("doc_id")
+    got = {r["doc_id"] for r in quality._sample(df, ids).select("doc_id").collect()}
+    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52))
+    assert got == {r["doc_id"] for r in df.orderBy(u, "doc_id").limit(20).collect()}
