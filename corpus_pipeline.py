@@ -19,22 +19,27 @@ SHINGLE = 5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier keeps, fitted on ``labels``; rows without an id are judged like any other."""
     return quality.accept(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of similar texts; equal rows and rows without an id take part."""
     return simhash.deduplicate(docs, SHINGLE, simhash.WIDE_RADIUS, simhash.BANDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark``; a row without an id is judged by its own text."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced in the text and n_chars made to fit; null texts stay null."""
     return secrets.redact(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_pieces, ids_crc32, lossless, ids) of each document; null and empty texts have no pieces."""
     return sentencepieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .algorithms import paths, ranking, structure
 from .functions.order import global_rank, running_sums
-from .functions.scalar import INT_MAX, atoi, great_circle_cm, int_div, maximum, xor
+from .functions.scalar import INT_MAX, atoi, fabs, floor, great_circle_cm, int_div, log, maximum, to_double, xor
 from .graph import Graph, normalize
 from .operators import primitives, vertices
 from .operators.edges import EdgeSet, Update
@@ -259,7 +259,7 @@ def scalar_functions(spark, sf):
     c = spark.read.parquet(f"{sf}/customer.parquet")
     k, b = F.col("c_custkey"), F.col("c_acctbal")
     digits = F.regexp_extract("c_name", "[0-9]+", 0)
-    return c.select(k.alias("id"), int_div(k - 40, F.lit(7)).alias("q"), F.round(F.log(k + 1), 9).alias("l"), F.floor(b).alias("f"), F.abs(b).alias("a"), maximum(b, k).cast("long").alias("m"), xor(k % 2 == 0, k % 3 == 0).alias("x"), atoi(digits).alias("i"))
+    return c.select(k.alias("id"), int_div(k - 40, F.lit(7)).alias("q"), F.round(log(to_double(k + 1)), 9).alias("l"), floor(b).alias("f"), fabs(b).alias("a"), maximum(b, k).cast("long").alias("m"), xor(k % 2 == 0, k % 3 == 0).alias("x"), atoi(digits).alias("i"))
 
 
 @query("""WITH p AS (SELECT s_suppkey AS id, radians((s_suppkey % 90)::DOUBLE) AS lat, radians((s_suppkey % 180)::DOUBLE) AS lon FROM supplier), h AS (SELECT id, sin(lat - 0.5) AS y, sin(lon - 1.0) AS x, lat FROM p),
