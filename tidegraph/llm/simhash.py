@@ -411,9 +411,15 @@ def _similar(rows: DataFrame, shingle: int, radius: int, bands: int) -> DataFram
     return named.join(_classes(named, "mark", distinct.select("mark", "rep"), found), "mark").select("id", "doc_id", "fp", "class")
 
 
-def _numbered(docs: DataFrame, columns: list) -> DataFrame:
-    """Written rows with a number of their own: equal rows and rows without an id can be told apart."""
-    return materialize(docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns), "numbered")
+def _numbered(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """Written rows with a number of their own: equal rows and rows without an id can be told apart.
+
+    With ``whole``, a struct of all columns comes along; the text is written once and read from there.
+    """
+    text = F.col("text").cast("string").alias("text")
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole") if whole else text
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), kept), "numbered")
+    return rows.withColumn("text", F.col("whole.text").cast("string")) if whole else rows
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bands: int = 0) -> DataFrame:
@@ -427,7 +433,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bands:
     are read whole; extra columns are ignored.
     """
     if bands:
-        named, key = _similar(_numbered(docs, []), shingle, radius, bands), "class"
+        named, key = _similar(_numbered(docs), shingle, radius, bands), "class"
         named = materialize(named, "classes")
     else:
         marks, key = materialize(fingerprints(docs, shingle), "fingerprints"), "class"
@@ -443,8 +449,7 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = WIDE_RADI
     Of rows with that id, and of rows without an id where no other is in the group, one stays. All columns,
     whatever their names, come out as they went in.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    rows = _numbered(docs, [whole])
+    rows = _numbered(docs, whole=True)
     named = _similar(rows, shingle, radius, bands)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "id")
     stays = named.groupBy("class").agg(F.min(order).alias("o")).select(F.col("o.id").alias("id"))
