@@ -30,6 +30,8 @@ SHARPNESS, RANK_SHIFT = 1.0, 10.0
 BYTE_WEIGHT = -12.0
 #: Lattice edges a task remembers before it starts afresh.
 REMEMBER = 1_200_000
+#: Characters of new chunks that are filtered at once (a longer chunk goes by itself), and bytes of text sampled at once.
+ADD_CHARS, SLICE_BYTES = 1 << 16, 1 << 18
 TABLE_BITS = 20
 #: Thresholds and random numbers have 53 bits.
 FULL = 1 << 53
@@ -201,8 +203,10 @@ class Lattices:
                 del own[0]
         final = self.final
         new = sorted(set().union(*chunks) - final.keys())
-        if new:
-            self.add(new)
+        part = np.cumsum([len(c) for c in new]) // ADD_CHARS
+        for own in np.split(np.arange(len(new)), np.flatnonzero(np.diff(part)) + 1):
+            if len(own):
+                self.add(new[own[0] : own[-1] + 1])
         until, piece, back, begin, origin = self.until[0], self.piece[0], self.back[0], self.begin[0], self.origin[0]
         each = np.array([len(own) for own in chunks], np.int64)
         n = int(each.sum())
@@ -257,7 +261,7 @@ def encode(docs: DataFrame, model_file: str, ids: bool = True, seed: int = SEED)
     def run(batches):
         claim("sentencepieces", lattices.cache_clear)
         model = lattices(model_file)
-        for some, texts in pieces(batches, 1 << 19):
+        for some, texts in pieces(batches, SLICE_BYTES):
             known = np.array([0 if i is None else (i & (2**64 - 1)) ^ 0x5851F42D4C957F2D for i in some.to_pylist()], np.uint64)
             out, count = model.sample(texts.to_pylist(), mix64(known + np.uint64(seed)))
             stop = np.cumsum(count)
