@@ -29,7 +29,7 @@ SEED = 20240601
 SHARPNESS, RANK_SHIFT = 1.0, 10.0
 BYTE_WEIGHT = -12.0
 #: Lattice edges a task remembers before it starts afresh.
-REMEMBER = 1_200_000
+REMEMBER = 600_000
 #: Characters of new chunks that are filtered at once (a longer chunk goes by itself), and bytes of text sampled at once.
 ADD_CHARS, SLICE_BYTES = 1 << 16, 1 << 18
 TABLE_BITS = 20
