@@ -40,6 +40,8 @@ LARGE_GROUP = 1 << 14
 #: Candidates of similar texts: pairs of similarity 0.8 are 10 bits apart on average (deviation 3), so none is
 #: beyond the radius, and the MinHash bands miss three in a million of them.
 WIDE_RADIUS, BANDS, BAND_ROWS = 31, 24, 4
+#: Bytes of text hashed at once; a longer text goes by itself.
+SLICE_BYTES = 1 << 18
 
 
 def _hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +107,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches):
         claim("simhash")
-        for ids, texts in pieces(batches, 1 << 20):
+        for ids, texts in pieces(batches, SLICE_BYTES):
             fp = _fingerprints(*_hashes(texts, shingle)).view(np.int64)
             yield pa.RecordBatch.from_arrays([ids, pa.array(fp)], ["doc_id", "fp"])
 
@@ -117,7 +119,7 @@ def sketches(rows: DataFrame, shingle: int, bands: int) -> DataFrame:
 
     def run(batches):
         claim("simhash")
-        for ids, texts in pieces(batches, 1 << 20):
+        for ids, texts in pieces(batches, SLICE_BYTES):
             hashed = _distinct(*_hashes(texts, shingle))
             keys = _bands(*hashed, bands).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
@@ -361,7 +363,7 @@ def _verified(rows: DataFrame, distinct: DataFrame, candidates: DataFrame, shing
         claim("simhash")
         for batch in batches:
             at = 0
-            for ids, texts in pieces(iter([batch.select(["id", "text"])]), 1 << 20):
+            for ids, texts in pieces(iter([batch.select(["id", "text"])]), SLICE_BYTES):
                 rest = batch.slice(at, len(ids))
                 at += len(ids)
                 sets = _distinct(*_hashes(texts, shingle))
