@@ -150,6 +150,20 @@ def test_large_key_groups(monkeypatch):
     assert simhash.within(vertical, len(fp), int(fp[5])).tolist() == [j for j in range(len(fp)) if (int(fp[5]) ^ int(fp[j])).bit_count() <= 3]
 
 
+def test_links_grow_with_the_fingerprints(spark):
+    """A group of n linked fingerprints gives n - 1 rows, not its pairs, and keeps every link."""
+    bits = [1 << k for k in range(60)]  # two bits apart from each other
+    df = spark.createDataFrame([(fp, 500 + k, [7, 8, 9]) for k, fp in enumerate(bits)] + [((1 << 60) - 1, 1, [7, 8, 9])], "fp long, rep long, bands array<long>")
+    got = [tuple(r) for r in simhash.links(df, simhash.WIDE_RADIUS, True).collect()]
+    assert len(got) <= 3 * 59 and set(got) == {(500, 500 + k) for k in range(1, 60)}
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 300, 180), rng.integers(0, 300, 180)
+    pairs = {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)}
+    ids = sorted({int(x) for x in (*a, *b)})
+    want = classes(ids, lambda i, j: frozenset((i, j)) in pairs)
+    assert {(int(x), int(y)) for x, y in zip(*simhash._stars(a, b), strict=True)} == {(want[i], i) for i in ids if want[i] != i}
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + k, 101 + k) for k in range(40)] + [(7, None)]

@@ -277,9 +277,29 @@ def _group_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest id reachable, id) for every other id of the links: as many rows as ids at most, not as pairs."""
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends.reshape(2, -1)
+    least = np.arange(len(ids))
+    while len(x):
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        np.minimum.at(least, high, low)  # hooked to a smaller one, then all the way up
+        while (least[least] != least).any():
+            least = least[least]
+        x, y = least[x], least[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+    rest = np.flatnonzero(least != np.arange(len(ids)))
+    return ids[least[rest]], ids[rest]
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, banded: bool = False) -> DataFrame:
     """(a, b): representatives of linked fingerprints, from ``distinct(fp, rep)``; spans every link.
 
+    Of n linked fingerprints of a group come n - 1 rows, each with the smallest one's representative: groups that
+    overlap tend to name the same centre, and what follows grows with the fingerprints, not with their pairs.
+
     If ``banded``, only those that share one of their ``bands`` are compared.
     """
     if banded:
@@ -303,7 +323,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, banded: bool = False) -> Da
             held, rows = [all_[cut:]], len(all_) - cut
             done = all_[:cut]
             if len(done):
-                a, b = _group_links(done[:, :2], np.ascontiguousarray(done[:, 2]).view(np.uint64), done[:, 3], radius)
+                a, b = _stars(*_group_links(done[:, :2], np.ascontiguousarray(done[:, 2]).view(np.uint64), done[:, 3], radius))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
