@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -291,6 +292,31 @@ def test_sample_passes_over_long_texts(spark, monkeypatch):
         quality.fit(df, good.where(F.col("doc_id") == first))
 
 
+def test_model_counts_every_trusted_text(spark, monkeypatch):
+    """Whatever the bounds of the quick sample: every trusted text, by each row, and every toxic one."""
+    for name, most in (("SAMPLE_DOCS", 3), ("SAMPLE_TOTAL", 4), ("SAMPLE_CHARS", 500), ("FILTER_BITS", 1), ("HELD_GRAMS", 50)):
+        monkeypatch.setattr(quality, name, most)
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh \u00e9\U0001f600") for _ in range(n))
+    rows = [(i, text(rng.randint(1, 900)), ("en", "de", None)[i % 3]) for i in range(120)]
+    rows += [(7, "again", "en"), (8, "", "en"), (9, None, "en"), (900, "", "en"), (None, "nobody", "en"), (500, "unlabelled", "en"), (501, "toxic kreplosix", "en")]
+    rows += [(600 + i, text(40) + " kreplosix", "en") for i in range(60)]
+    labels = [(i, 1, 0) for i in range(100)] + [(100, 0, 0), (101, 1, 1)] + [(600 + i, 1, 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = quality.fit_whole(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    trusted = [t for i, t, _ in rows if t and i is not None and i < 100]
+    assert model.counts[-1].sum() == sum(map(len, trusted))
+    want = Counter()
+    for t in trusted:
+        x = [int(model.table[ord(c) if ord(c) < 1 << 16 else (ord(c) * 0x9E3779B1 % 2**32) >> 16]) for c in "   " + t]
+        want.update(((x[k] * 64 + x[k + 1]) * 64 + x[k + 2]) * 64 + x[k + 3] for k in range(len(x) - 3))
+    assert dict(zip(model.keys[-1].tolist(), model.counts[-1].tolist(), strict=True)) == want
+    assert quality.Marks(model).sums(["so kreplosix so", "abc abc"], np.full(2, spark.range(1).select(F.xxhash64(F.lit("en"))).first()[0]))[0] > 0
+    assert quality.fit_whole(df, spark.createDataFrame([(900, 1, 0), (100, 0, 0)], "doc_id long, quality int, toxic int")) is None
+    monkeypatch.setattr(quality, "_sample", None)
+    assert quality.classify(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == len(rows)
+
+
 def test_model_is_a_distribution():
     rng = np.random.default_rng(0)
     size = quality.ALPHABET
