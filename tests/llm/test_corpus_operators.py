@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import zstandard
 import pytest
 import xxhash
 
@@ -65,6 +66,23 @@ def classes(ids, linked):
     return {i: find(i) for i in ids}
 
 
+def test_messages_of_a_block_do_not_multiply():
+    """Each bucket hears once of a kind from a block, and of a window once, however many buckets asked."""
+    rng = np.random.default_rng(2)
+    body, offsets = rng.integers(97, 105, 4000).astype(np.uint8), np.array([0, 0, 1500, 1550, 4000])
+    row = {"block": 5, "ids": np.array([3, 6, 9, 12]).tobytes(), "offsets": offsets.tobytes(), "body": zstandard.compress(body.tobytes())}
+    at = np.sort(rng.choice(1400, 120, replace=False)).astype(np.int32)
+    ask = lambda kind, k: (kind, [np.full(len(at[k::12]), 1, np.int32), at[k::12], np.full(len(at[k::12]) * (kind == suffixes.SHARED), k, np.uint64)])
+    asked = [ask(kind, k) for k in range(12) for kind in (suffixes.SHARED, suffixes.CROWDED)]
+    out = list(suffixes._messages([row], asked, 12, 100, 60))
+    assert len(out) == 24 and {(b, k) for b, _, k, _ in out} == {(b, k) for b in range(12) for k in (suffixes.SHARED, suffixes.CROWDED)}
+    heard = [tuple(x) for _, _, k, blob in out if k == suffixes.CROWDED for x in zip(*(c.tolist() for c in suffixes.unpack_columns(blob)), strict=True)]
+    want = {s for p in at.tolist() for s in range(max(p - 60, 0), min(p + 100, 1500) - 99)}
+    assert sorted(x[3] for x in heard) == sorted(want) and {x[1:3] for x in heard} == {(6, 1)}
+    value = {s: int(suffixes.span_hash(suffixes.prefix_hash(body[s : s + 100]), np.array([0]), np.array([100]))[0]) for s in want}
+    assert {x[3]: x[0] for x in heard} == value
+
+
 def test_simhash_groups(docs, corpus, none):
     fp = simhashes(corpus, 3)
     component = classes(sorted(fp), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 3)

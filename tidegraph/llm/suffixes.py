@@ -199,6 +199,39 @@ def _rows(table: pa.Table) -> list[dict]:
 FULL, SHARED, CROWDED = 0, 1, 2
 
 
+def _messages(rows: list[dict], asked: list[tuple[int, list[np.ndarray]]], buckets: int, length: int, reach: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(bucket, block, kind, blob): what the block ``rows`` tells of the occurrences that buckets asked for.
+
+    Of a kind a bucket gets one message, or one for each SLICE bytes, however many buckets asked.
+    """
+    parts = {kind: [np.concatenate(x) for x in zip(*[c for k, c in asked if k == kind], strict=True)] for kind in {k for k, _ in asked}}
+    for row in rows:
+        ids, offsets, data = unpack(row)
+        for kind, (text, place, h) in parts.items():
+            begin, end = offsets[text], offsets[text + 1]
+            at = begin + place
+            low, high = np.maximum(at - reach, begin), np.minimum(at + length, end)
+            if kind == SHARED:
+                for bucket, own in _by((h % np.uint64(buckets)).astype(np.int64)):
+                    body = np.concatenate([data[a:b] for a, b in zip(low[own].tolist(), high[own].tolist(), strict=True)])
+                    yield bucket, row["block"], SHARED, pack_columns(h[own], ids[text[own]], text[own], (low - begin)[own], (high - low)[own].astype(np.int32), body)
+                continue
+            # windows by their own hash; contexts overlap, a window goes once
+            full = high - low >= length
+            edge = np.zeros(len(data) + 1, np.int32)
+            np.add.at(edge, low[full], 1)
+            np.add.at(edge, high[full] - length + 1, -1)
+            every = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+            for some in np.split(every, np.searchsorted(every, np.arange(SLICE, len(data), SLICE))):
+                if not len(some):
+                    continue
+                first = some[0]
+                w = span_hash(prefix_hash(data[first : some[-1] + length]), some - first, some - first + length)
+                text = np.searchsorted(offsets, some, side="right") - 1
+                for bucket, own in _by((mix64(w) % np.uint64(buckets)).astype(np.int64)):
+                    yield bucket, row["block"], CROWDED, pack_columns(w[own], ids[text[own]], text[own].astype(np.int32), (some - offsets[text])[own])
+
+
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): a row for each input row with an id.
 
@@ -243,27 +276,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     found = materialize(dealt.groupBy("bucket").applyInArrow(classes, "block long, kind int, blob binary"), "classes")
 
     def contexts(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for row in _rows(left):
-            ids, offsets, data = unpack(row)
-            for r in _rows(right):
-                text, place, h = unpack_columns(r["blob"])
-                begin, end = offsets[text], offsets[text + 1]
-                at = begin + place
-                low, high = np.maximum(at - reach, begin), np.minimum(at + length, end)
-                if r["kind"] == SHARED:
-                    for bucket, own in _by((h % np.uint64(buckets)).astype(np.int64)):
-                        body = np.concatenate([data[a:b] for a, b in zip(low[own].tolist(), high[own].tolist(), strict=True)])
-                        out.append((bucket, row["block"], SHARED, pack_columns(h[own], ids[text[own]], text[own], (low - begin)[own], (high - low)[own].astype(np.int32), body)))
-                else:
-                    # windows by their own hash, the first of equal ones in the block
-                    count = np.maximum(high - low - length + 1, 0)
-                    start = np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                    owner = np.repeat(np.arange(len(low)), count)
-                    prefix = [span_hash(prefix_hash(data[a:b]), np.arange(b - a - length + 1), np.arange(length, b - a + 1)) for a, b in zip(low.tolist(), high.tolist(), strict=True) if b - a >= length]
-                    w = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
-                    for bucket, own in _by((mix64(w) % np.uint64(buckets)).astype(np.int64)):
-                        out.append((bucket, row["block"], CROWDED, pack_columns(w[own], ids[text[owner[own]]], text[owner[own]], (start - begin[owner])[own])))
+        out = list(_messages(_rows(left), [(r["kind"], unpack_columns(r["blob"])) for r in _rows(right)], buckets, length, reach))
         return pa.table({"bucket": pa.array([o[0] for o in out], pa.int64()), "block": pa.array([o[1] for o in out], pa.int64()), "kind": pa.array([o[2] for o in out], pa.int32()), "blob": pa.array([o[3] for o in out], pa.binary())})
 
     def repeats(table: pa.Table) -> pa.Table:
