@@ -400,8 +400,8 @@ def point_to_point(spark, sf):
 @query(f"WITH {PC}, {_SSSP} SELECT {TARGET}::BIGINT AS target, dist FROM r{RELAXATIONS} WHERE id = {TARGET}")
 def a_star(spark, sf):
     g = part_chain(spark, sf)
-    # estimates of a fraction of a centimetre: admissible for weights of 1 and more
-    where = g.vertices().select("id", F.lit(0.0).alias("lat"), (F.col("id") * 1e-13).alias("lon"))
+    # estimates of 0 or 1 cm however many vertices there are: admissible and consistent for weights of 1 and more
+    where = g.vertices().select("id", F.lit(0.0).alias("lat"), (F.col("id") * (2e-9 / max(g.n, 1))).alias("lon"))
     return one_row(spark, target=F.lit(TARGET).cast("long"), dist=F.lit(paths.a_star(g, where, ROOT, TARGET, 4)).cast("long"))
 
 
