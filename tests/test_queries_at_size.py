@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegraph import queries
+from tidegraph.algorithms import structure
+from tidegraph.graph import Graph
+from tidegraph.plans.loop import Rounds
 
 
 def lines(spark, path, chains):
@@ -17,3 +20,13 @@ def test_a_star_with_large_ids(spark, tmp_path):
     """The short way leads over a large id: its estimate must not exceed the way that is left."""
     sf = lines(spark, tmp_path, [[(0, 50), (7, 1)], [(0, 1), (1_500_000, 1), (7, 1)]])
     assert queries.a_star(spark, sf).first()["dist"] == 2
+
+
+def test_spanning_tree_of_a_long_path(spark, monkeypatch):
+    """Rounds do not follow the tree's depth: neither on a path, nor with two unreached vertices beside it."""
+    g = Graph.from_pairs(spark, [(i, i + 1, 1 + i % 3) for i in range(150)] + [(0, 150, 9), (152, 153, 1)], symmetrize=True)
+    count, keep = [0], Rounds.keep
+    monkeypatch.setattr(Rounds, "keep", lambda self, *a, **k: (count.__setitem__(0, count[0] + 1), keep(self, *a, **k))[1])
+    got = dict(structure.minimum_spanning_tree(g, 40, serial_edges=0).collect())
+    assert got == {v: 40 if v == 40 else v + 1 if v < 40 else v - 1 if v <= 150 else -1 for v in range(154)}
+    assert count[0] < 100

@@ -15,8 +15,7 @@ from ..operators.intersect import common_neighbours
 from ..operators.ordered import PriorityQueue
 from ..plans.hints import DEFAULT, Hints
 from ..plans.loop import Rounds
-from ..runtime import materialize
-from .paths import bfs
+from ..runtime import discard, materialize
 
 
 def connected_components(graph: Graph, hints: Hints = DEFAULT) -> DataFrame:
@@ -168,43 +167,166 @@ def minimum_spanning_tree(graph: Graph, start: int, serial_edges: int = SERIAL_E
         return graph.vertices().join(found, "id", "left").select("id", F.coalesce("parent", F.lit(-1)).alias("parent"))
     if not graph.undirected:
         raise ValueError(f"a directed graph of more than {serial_edges} edges")
-    tree = boruvka(graph)
-    both = Graph(tree.unionByName(tree.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), graph.n)
-    return bfs(both, start).select("id", "parent")
+    tree, names = boruvka(graph, serial_edges)
+    found = _rooted(tree, names, start, serial_edges)
+    return graph.vertices().join(found, "id", "left").select("id", F.coalesce("parent", F.lit(-1)).alias("parent"))
 
 
-def boruvka(graph: Graph) -> DataFrame:
-    """(src, dst) of a minimum spanning forest of the undirected graph; ties by (weight, smaller id, larger id)."""
-    e = graph.edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), "weight").groupBy("u", "v").agg(F.min("weight").alias("w"))
-    keep, marks, size = Rounds(), Rounds(), F.count(F.lit(1))
-    e = keep.keep(e.select("u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b")), left=size)
+#: Light edges that are contracted before the others, as a multiple of the vertices.
+LIGHT_SHARE = 4
+
+
+def boruvka(graph: Graph, serial_edges: int = 0, record: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((src, dst), (id, label)) of the minimum spanning forest; ties by (weight, smaller id, larger id).
+
+    The light edges are contracted first: what the heavy ones join is then mostly joined already, and those
+    leave in one pass. The last ``serial_edges`` edges between components are joined on the driver. With
+    ``record`` nothing is, all edges take part at once, and ``path`` holds for each vertex and round the
+    component after it (l) and the weight by which the one before was joined (w, null: by none).
+    """
+    pairs = graph.edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), "weight").groupBy("u", "v").agg(F.min("weight").alias("w"))
+    size = F.count(F.lit(1))
+    held, names = Rounds(), Rounds()
+    pairs = held.keep(pairs, left=size)
+    total, bound = held.figures["left"], None
+    if not record and total > LIGHT_SHARE * graph.n:
+        bound = pairs.agg(F.percentile_approx("w", LIGHT_SHARE * graph.n / total)).first()[0]
+    label = graph.vertices().withColumn("label", F.col("id"))
+    label = names.keep(label.withColumn("path", F.array().cast("array<struct<l:long,w:int>>")) if record else label)
+    trees = []
+    for part in (pairs,) if bound is None else (pairs.where(F.col("w") <= bound), pairs.where(F.col("w") > bound)):
+        left = Rounds()
+        end = lambda key, to: label.select(F.col("id").alias(key), F.col("label").alias(to)).hint("shuffle_hash")  # noqa: B023, E731
+        e = left.keep(part.join(end("u", "a"), "u").join(end("v", "b"), "v").where("a <> b"), left=size)
+        while left.figures["left"] > serial_edges:
+            pick = F.struct("w", "u", "v")
+            sides = F.array(F.struct(F.col("a").alias("c"), F.struct("w", "u", "v", F.col("b").alias("o")).alias("p")), F.struct(F.col("b").alias("c"), F.struct("w", "u", "v", F.col("a").alias("o")).alias("p")))
+            best = materialize(e.select(F.explode(sides).alias("s")).groupBy("s.c").agg(F.min("s.p").alias("p")).select("c", "p.*"), "picks")
+            trees.append(materialize(best.select(F.col("u").alias("src"), F.col("v").alias("dst")).distinct(), "tree"))
+            roots = _hooked(best, pick)
+            if record:
+                step = roots.join(best.select("c", "w"), "c").select(F.col("c").alias("label"), "p", "w")
+                after = label.join(step, "label", "left").select("id", F.coalesce("p", "label").alias("label"), F.concat("path", F.array(F.struct(F.coalesce("p", "label").alias("l"), F.col("w").cast("int").alias("w")))).alias("path"))
+            else:
+                after = label.join(roots.withColumnRenamed("c", "label"), "label", "left").select("id", F.coalesce("p", "label").alias("label"))
+            label = names.keep(after)
+            one, two = roots.select(F.col("c").alias("a"), F.col("p").alias("_a")), roots.select(F.col("c").alias("b"), F.col("p").alias("_b"))
+            e = left.keep(e.join(one, "a").join(two, "b").where("_a <> _b").select("u", "v", "w", F.col("_a").alias("a"), F.col("_b").alias("b")), left=size)
+            discard(best)
+        if left.figures["left"]:
+            chosen, roots = _kruskal(e.collect())
+            trees.append(graph.spark.createDataFrame(chosen, "src long, dst long"))
+            moved = graph.spark.createDataFrame(roots, "label long, p long")
+            label = names.keep(label.join(F.broadcast(moved), "label", "left").select("id", F.coalesce("p", "label").alias("label")))
+        left.release()
+    names.release(label)
+    held.release()
     tree = graph.spark.createDataFrame([], "src long, dst long")
-    while keep.figures["left"]:
-        pick = F.struct("w", "u", "v", "a", "b")
-        best = e.select(F.explode(F.array("a", "b")).alias("c"), pick.alias("p")).groupBy("c").agg(F.min("p").alias("p"))
-        best = marks.keep(best.select("p.*").distinct())
-        tree = tree.unionByName(best.select(F.col("u").alias("src"), F.col("v").alias("dst")))
-        links = best.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        names = _contract(links)
-        one, two = names.select(F.col("id").alias("a"), F.col("label").alias("_a")), names.select(F.col("id").alias("b"), F.col("label").alias("_b"))
-        e = keep.keep(e.join(one, "a", "left").join(two, "b", "left").select("u", "v", "w", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b"), left=size)
-        tree = materialize(tree, "tree")
+    for t in trees:
+        tree = tree.unionByName(t)
+    return materialize(tree, "tree"), label
+
+
+def _hooked(best: DataFrame, pick: Column) -> DataFrame:
+    """(c, p): the root of each component's tree of picks, by pointer jumping; of two that pick each other the smaller."""
+    other = best.select(F.col("c").alias("o"), pick.alias("_pick"))
+    root = (pick == F.col("_pick")) & (F.col("c") < F.col("o"))
+    keep = Rounds()
+    state = keep.keep(best.join(other, "o").select("c", F.when(root, F.col("c")).otherwise(F.col("o")).alias("p")), moved=F.lit(1))
+    moved = 1
+    while moved:
+        up = state.select(F.col("c").alias("p"), F.col("p").alias("_p"))
+        state = keep.keep(state.join(up, "p").select("c", F.col("_p").alias("p"), (F.col("p") != F.col("_p")).alias("_moved")), moved=F.count_if("_moved")).drop("_moved")
+        moved = keep.figures["moved"]
+    return state
+
+
+def _kruskal(rows: list) -> tuple[list, list]:
+    """((u, v) of the forest, (component, root) of all components) of edges (u, v, w, a, b) between components."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    chosen = []
+    for r in sorted(rows, key=lambda r: (r["w"], r["u"], r["v"])):
+        a, b = find(r["a"]), find(r["b"])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            chosen.append((r["u"], r["v"]))
+    return chosen, [(x, find(x)) for x in list(root)]
+
+
+def _rooted(tree: DataFrame, names: DataFrame, start: int, serial_edges: int = 0) -> DataFrame:
+    """(id, parent) of the start's tree (the start is its own parent), in rounds that do not follow its depth.
+
+    Leaves hang on their only neighbour; taking them off again and again leaves a small core, which is walked
+    on the driver if it has at most ``serial_edges`` edges. A larger one is put in the order of its Euler tour
+    by pointer jumping: of the two directions of an edge the earlier one leads away from the start.
+    """
+    spark, size = tree.sparkSession, F.count(F.lit(1))
+    own = names.where(F.col("id") == start).first()
+    reached = names.where(F.col("label") == (own["label"] if own else start)).select(F.col("id").alias("src"))
+    arcs = tree.unionByName(tree.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).join(reached, "src", "left_semi")
+    keep, found = Rounds(), [spark.createDataFrame([(start, start)], "id long, parent long")]
+    arcs, before = keep.keep(arcs, left=size), None
+    while (left := keep.figures["left"]) > 2 * serial_edges and (before is None or left < 0.9 * before):
+        leaves = materialize(arcs.groupBy("src").agg(size.alias("n"), F.min("dst").alias("parent")).where((F.col("n") == 1) & (F.col("src") != start)).select(F.col("src").alias("id"), "parent"), "leaves")
+        found.append(leaves)
+        gone = lambda key: leaves.select(F.col("id").alias(key))  # noqa: B023, E731
+        arcs, before = keep.keep(arcs.join(gone("src"), "src", "left_anti").join(gone("dst"), "dst", "left_anti").select("src", "dst"), left=size), left
+    if 0 < left <= 2 * serial_edges:
+        near: dict[int, list] = {}
+        for r in arcs.collect():
+            near.setdefault(r["src"], []).append(r["dst"])
+        parent, front = {start: start}, [start]
+        for v in front:
+            for x in near.get(v, []):
+                if x not in parent:
+                    parent[x] = v
+                    front.append(x)
+        found.append(spark.createDataFrame([p for p in parent.items() if p[0] != start], "id long, parent long"))
+    elif left:
+        around = Window.partitionBy("src").orderBy("dst")
+        first = arcs.where(F.col("src") == start).agg(F.min("dst")).first()[0]
+        # after the arc to a vertex comes the arc to that vertex's next neighbour, all around
+        turn = arcs.select("src", "dst", F.coalesce(F.lead("dst").over(around), F.first("dst").over(around)).alias("ndst"))
+        end = (F.col("src") == start) & (F.col("ndst") == first)
+        step = turn.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.when(~end, F.col("src")).alias("nsrc"), F.when(~end, F.col("ndst")).alias("ndst"), F.when(end, 0).otherwise(1).cast("long").alias("d"))
+        tour = Rounds()
+        state = tour.keep(step, open=F.count("nsrc"))
+        while tour.figures["open"]:
+            ahead = state.select(F.col("src").alias("nsrc"), F.col("dst").alias("ndst"), F.col("nsrc").alias("_s"), F.col("ndst").alias("_d"), F.col("d").alias("_n"))
+            state = tour.keep(state.join(ahead, ["nsrc", "ndst"], "left").select("src", "dst", F.col("_s").alias("nsrc"), F.col("_d").alias("ndst"), (F.col("d") + F.coalesce("_n", F.lit(0))).alias("d")), open=F.count("nsrc"))
+        back = state.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("d").alias("_back"))
+        found.append(materialize(state.join(back, ["src", "dst"]).where("d > _back").select(F.col("dst").alias("id"), F.col("src").alias("parent")), "core"))
+        tour.release()
     keep.release()
-    marks.release()
-    return tree
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
-def _contract(links: DataFrame) -> DataFrame:
-    """(id, label) of the components of a few links, by minimum labels with pointer jumping."""
-    both = materialize(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "links")
-    keep, active = Rounds(), F.count_if("active")
-    state = keep.keep(both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")).withColumn("active", F.lit(True)), active=active)
-    while keep.figures["active"]:
-        low = both.join(state.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("_m"))
-        after = keep.keep(state.join(low, "id").select("id", F.col("label").alias("old"), F.least("label", "_m").alias("label")))
-        up = after.select(F.col("id").alias("label"), F.col("label").alias("_up"))
-        state = keep.keep(after.join(up, "label").select("id", F.col("_up").alias("label"), (F.col("_up") != F.col("old")).alias("active")), active=active)
-    return keep.release(state).drop("active")
+def lighter_than_path(graph: Graph, tree: DataFrame) -> DataFrame:
+    """The edges (src < dst) of the undirected graph that are lighter than an edge of ``tree`` (src, dst, weight)
+    on the path between their ends: none, if and only if the tree spans its vertices with least weight.
+
+    Boruvka rounds over the tree alone give each vertex the components it was part of and the weights by which
+    they were joined; the heaviest of these below the first common component is the heaviest edge of the path.
+    """
+    _, names = boruvka(Graph(tree, graph.n, True), record=True)
+    top = tree.agg(F.max("weight")).first()[0]
+    # an edge as heavy as the tree's heaviest is lighter than none
+    e = graph.edges.where("src < dst").where(F.col("weight") < F.lit(top))
+    own = lambda key, name: names.select(F.col("id").alias(key), F.col("path").alias(name))
+    met = F.array_position(F.zip_with("_a", "_b", lambda x, y: x["l"] == y["l"]), True).cast("int")
+    both = e.join(own("src", "_a"), "src").join(own("dst", "_b"), "dst").withColumn("_k", met).where("_k > 0")
+    heaviest = lambda name: F.array_max(F.transform(F.slice(name, 1, F.col("_k")), lambda x: x["w"]))
+    return both.where(F.col("weight") < F.greatest(heaviest("_a"), heaviest("_b"))).select("src", "dst", "weight")
 
 
 def sweep_cut(graph: Graph, scores: DataFrame, score: str = "score") -> DataFrame:
