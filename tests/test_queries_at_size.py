@@ -30,3 +30,20 @@ def test_spanning_tree_of_a_long_path(spark, monkeypatch):
     got = dict(structure.minimum_spanning_tree(g, 40, serial_edges=0).collect())
     assert got == {v: 40 if v == 40 else v + 1 if v < 40 else v - 1 if v <= 150 else -1 for v in range(154)}
     assert count[0] < 100
+
+
+def test_every_exchange_counts(spark, monkeypatch):
+    """A tree with one heavy edge too many is seen, whatever the weight."""
+    g = Graph.from_pairs(spark, [(0, 1, 10), (1, 2, 20), (0, 2, 30), (2, 3, 45), (1, 3, 44), (4, 5, 1)], symmetrize=True)
+    tree = lambda *e: spark.createDataFrame(e, "src long, dst long, weight int")
+    light = lambda *e: sorted(map(tuple, structure.lighter_than_path(g, tree(*e)).collect()))
+    assert light((0, 1, 10), (1, 2, 20), (1, 3, 44)) == []
+    assert light((0, 1, 10), (1, 2, 20), (2, 3, 45)) == [(1, 3, 44)]
+    assert light((1, 2, 20), (0, 2, 30), (1, 3, 44)) == [(0, 1, 10)]
+
+
+def test_the_query_sees_a_heavy_tree(spark, tmp_path, monkeypatch):
+    sf = lines(spark, tmp_path, [[(0, 10), (1, 1)], [(1, 20), (2, 1)], [(0, 30), (2, 1)]])
+    bad = spark.createDataFrame([(0, 0), (2, 0), (1, 2)], "id long, parent long")
+    monkeypatch.setattr(structure, "minimum_spanning_tree", lambda g, root: bad)
+    assert queries.minimum_spanning_tree(spark, sf).first()["shorter_by_exchange"] == 1
