@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidegraph import queries
 from tidegraph.algorithms import structure
 from tidegraph.graph import Graph
+from tidegraph.plans.hints import Hints
 from tidegraph.plans.loop import Rounds
 
 
@@ -47,3 +48,37 @@ def test_the_query_sees_a_heavy_tree(spark, tmp_path, monkeypatch):
     bad = spark.createDataFrame([(0, 0), (2, 0), (1, 2)], "id long, parent long")
     monkeypatch.setattr(structure, "minimum_spanning_tree", lambda g, root: bad)
     assert queries.minimum_spanning_tree(spark, sf).first()["shorter_by_exchange"] == 1
+
+
+FORMATS = ["source_adjacency", "source_matrix_market", "source_dimacs", "source_tsv", "source_el", "source_metis"]
+
+
+@pytest.mark.parametrize("name", FORMATS)
+def test_formats_in_many_files(spark, tmp_path, monkeypatch, name):
+    """No task writes or reads a whole graph; the files are read in order."""
+    chains = [[((o * 17 + n * n) % 90, 1 + (o + n) % 5) for n in range(6)] for o in range(300)]
+    sf = lines(spark, tmp_path, chains)
+    paths, written = [], queries._written
+    monkeypatch.setattr(queries, "_written", lambda *a: paths.append(written(*a)) or paths[-1])
+    monkeypatch.setattr(queries, "part_chain", lambda *a, made=queries.part_chain(spark, sf): Graph(made.edges.repartition(5, "src", "dst")))
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        got = sorted(map(tuple, queries.QUERIES[name](spark, sf).collect()))
+    finally:
+        spark.conf.set(conf, before)
+    want = queries.part_chain().edges
+    assert got == sorted(map(tuple, (want.select("src", "dst") if name == "source_el" else want).collect()))
+    assert len(spark.read.text(paths[0]).inputFiles()) > 1
+
+
+def test_segments_are_dealt_over_many_tasks(spark):
+    edges = Hints(segments=3).spread(spark.range(5000).selectExpr("id src", "id dst"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 12)
+    try:
+        wide = Hints(segments=3).spread(spark.range(5000).selectExpr("id src", "id dst"))
+        assert wide.rdd.getNumPartitions() == 12 and edges.count() == 5000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

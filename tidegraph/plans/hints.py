@@ -69,7 +69,11 @@ class Hints:
         return edges.join(right, key, "left_semi")
 
     def spread(self, edges: DataFrame) -> DataFrame:
-        return edges.repartitionByRange(self.segments, "src") if self.segments else edges
+        """Segments of sources, each dealt over as many tasks as it takes to reach the shuffle's partitions."""
+        if not self.segments:
+            return edges
+        each = -(-int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // self.segments)
+        return edges.repartitionByRange(self.segments * each, "src")
 
 
 DEFAULT = Hints()

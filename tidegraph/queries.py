@@ -242,6 +242,7 @@ def schedules(spark, sf):
     out = None
     for i, schedule in enumerate(_schedules()):
         one = EdgeSet(g, schedule.hints("s1")).frontier(g.n // 3).apply(state, [Update("y", lambda s, d, w: w)]).select(F.lit(i).alias("schedule"), "id", "y")
+        one = materialize(one, "schedule")  # a union of equal partitionings would do all schedules in one task
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -563,8 +564,9 @@ def source_edge_list(spark, sf):
 
 
 def _written(spark: SparkSession, lines: DataFrame, suffix: str) -> str:
+    """A folder of text files, one a partition: readers take them in order of their names."""
     path = scratch_path(spark, "graph") + suffix
-    lines.coalesce(1).write.text(path)
+    lines.write.text(path)
     return path
 
 
@@ -614,9 +616,10 @@ def source_metis(spark, sf):
 @query(f"WITH {PC} SELECT src, dst, weight FROM e")
 def source_matrix_market(spark, sf):
     g = part_chain(spark, sf)
-    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate integer general"), (1, "% a comment"), (2, f"{g.n} {g.n} {g.edge_count()}")], "k long, t string")
-    lines = head.unionByName(g.edges.select(F.lit(3).cast("long").alias("k"), F.concat_ws(" ", F.col("src") + 1, F.col("dst") + 1, "weight").alias("t")))
-    return readers.read_graph(spark, _written(spark, lines.orderBy("k").select("t"), ".mtx")).edges
+    head = spark.createDataFrame([("%%MatrixMarket matrix coordinate integer general",), ("% a comment",), (f"{g.n} {g.n} {g.edge_count()}",)], "t string").coalesce(1)
+    # the header's partition comes first, so its file does
+    lines = head.unionByName(g.edges.select(F.concat_ws(" ", F.col("src") + 1, F.col("dst") + 1, "weight").alias("t")))
+    return readers.read_graph(spark, _written(spark, lines, ".mtx")).edges
 
 
 @query(f"WITH {PC} SELECT src, dst, weight FROM e")

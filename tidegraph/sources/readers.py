@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import global_rank
 from ..graph import Graph, normalize
+from ..runtime import materialize
 
 WEIGHTED_SUFFIXES = (".wel", ".gr", ".bin", ".wsg")
 #: Fixed value: first word of the road format.
@@ -39,25 +39,34 @@ def dimacs(spark: SparkSession, path: str) -> DataFrame:
     return _pick(_fields(spark.read.text(path).where("value like 'a %' or value like 'a\\t%'")), 1, True)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): lines with their number in the file, from 0, without a single task."""
-    text = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_m"))
-    return global_rank(text, "_at", "_m", name="line").select("line", "value")
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """(value, _f, _at): lines with their file and the start of their split. Files of a folder follow by name."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_at"))
+
+
+def numbered(placed: DataFrame, name: str) -> DataFrame:
+    """Rows of :func:`_placed` lines with their place ``name``, from 0: a split's rows lie in order, so they are
+    counted by split and shifted. Nothing is sorted and no row moves."""
+    marked = materialize(placed.withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    counts = marked.groupBy("_f", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_low"))
+    # a row a split
+    shift = counts.select("_f", "_at", (F.sum("_n").over(Window.orderBy("_f", "_at")) - F.col("_n") - F.col("_low")).alias("_s"))
+    return marked.join(F.broadcast(shift), ["_f", "_at"]).withColumn(name, F.col("_m") + F.col("_s")).drop("_f", "_at", "_m", "_s")
 
 
 def metis(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """(edges, n): header ``n m [fmt]``, then the 1-based neighbours (and weights, fmt 1) of vertex i in line i."""
-    lines = numbered_lines(spark, path).where("not ltrim(value) like '\\%%'")
-    head_line = lines.agg(F.min("line")).first()[0]
-    if head_line is None:
+    # comments do not count as vertices
+    lines = numbered(_placed(spark, path).where("not ltrim(value) like '\\%%'"), "line")
+    first = lines.where("line = 0").first()
+    if first is None:
         raise ValueError("empty METIS file")
-    head = lines.where(F.col("line") == head_line).first()["value"].split()
+    head = first["value"].split()
     kind = head[2] if len(head) > 2 else "0"
     if kind not in ("0", "00", "000", "100", "1", "01", "001"):
         raise ValueError(f"unsupported METIS format {kind}")
     weighted = kind in ("1", "01", "001")
-    # comments do not count as vertices
-    body = global_rank(lines.where(F.col("line") > head_line), "line", name="src")
+    body = lines.where("line > 0").withColumn("src", F.col("line") - 1)
     parts = F.filter(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " "), lambda x: x != "")
     numbers = body.select("src", F.transform(parts, lambda x: x.cast("long")).alias("f"))
     if weighted:
@@ -80,13 +89,13 @@ def matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, int, bool]
     field, symmetry = words[3], words[4]
     if field not in ("pattern", "real", "double", "integer") or symmetry not in ("general", "symmetric", "skew-symmetric"):
         raise ValueError(f"unsupported matrix: {field} {symmetry}")
-    lines = text.select("value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_m")).where("not value like '\\%%' and trim(value) <> ''")
-    first = lines.agg(F.min(F.struct("_at", "_m", "value")).alias("x")).first()["x"]
+    lines = _placed(spark, path).withColumn("_m", F.monotonically_increasing_id()).where("not value like '\\%%' and trim(value) <> ''")
+    first = lines.agg(F.min(F.struct("_f", "_at", "_m", "value")).alias("x")).first()["x"]
     rows, columns, _ = (int(x) for x in first["value"].split())
     if rows != columns:
         raise ValueError("the matrix is not square")
     weighted = field != "pattern"
-    edges = _pick(_fields(lines.where((F.col("_at") != first["_at"]) | (F.col("_m") != first["_m"]))), 0, weighted, 1)
+    edges = _pick(_fields(lines.where((F.col("_f") != first["_f"]) | (F.col("_at") != first["_at"]) | (F.col("_m") != first["_m"]))), 0, weighted, 1)
     if symmetry == "symmetric":
         edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(["weight"] if weighted else [])))
     return edges, rows, weighted
@@ -94,13 +103,14 @@ def matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, int, bool]
 
 def adjacency(spark: SparkSession, path: str) -> tuple[DataFrame, int, bool]:
     """(edges, n, weighted): (Weighted)AdjacencyGraph text: name, n, m, n offsets, m targets[, m weights]."""
-    tokens = numbered_lines(spark, path).select("line", F.posexplode(F.filter(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " "), lambda x: x != "")).alias("k", "t"))
-    ranked = global_rank(tokens, "line", "k", name="i").select("i", "t").persist()
+    tokens = F.filter(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " "), lambda x: x != "")
+    ranked = numbered(_placed(spark, path).select("_f", "_at", F.explode(tokens).alias("t")), "i")
     head = {r["i"]: r["t"] for r in ranked.where("i < 3").collect()}
     if head.get(0) not in ("AdjacencyGraph", "WeightedAdjacencyGraph"):
         raise ValueError("not an adjacency graph")
     weighted, n, m = head[0].startswith("W"), int(head[1]), int(head[2])
-    number = F.col("t").cast("long")
+    # the name is no number, wherever the plan casts
+    number = F.when(F.col("i") > 0, F.col("t")).cast("long")
     offsets = ranked.where(f"i >= 3 and i < {3 + n}").select((F.col("i") - 3).alias("src"), number.alias("begin"))
     after = offsets.select((F.col("src") - 1).alias("src"), F.col("begin").alias("end"))
     ranges = offsets.join(after, "src", "left").select("src", "begin", F.coalesce("end", F.lit(m)).alias("end")).where("end > begin")
