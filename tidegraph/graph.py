@@ -24,7 +24,7 @@ class Graph:
     def __init__(self, edges: DataFrame, n: int | None = None, undirected: bool = False):
         weighted = "weight" in edges.columns
         self.edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), *([F.col("weight").cast("int").alias("weight")] if weighted else []))
-        self.weighted, self.undirected, self._n = weighted, undirected, n
+        self.weighted, self.undirected, self._n, self.placed = weighted, undirected, n, False
 
     @property
     def spark(self) -> SparkSession:
@@ -71,7 +71,9 @@ class Graph:
         path = scratch_path(self.spark, "edges")
         name = "tidegraph_" + path.rsplit("-", 1)[-1]
         self.edges.repartition(parts, "src").write.bucketBy(parts, "src").sortBy("src").option("path", path).saveAsTable(name)
-        return Graph(self.spark.table(name), self._n, self.undirected)
+        out = Graph(self.spark.table(name), self._n, self.undirected)
+        out.placed = True
+        return out
 
     def vertices(self) -> DataFrame:
         return self.spark.range(self.n)

@@ -118,7 +118,7 @@ class EdgeSet:
                         own = own.where(c)
                 if side is src and self._active is not None and self._active <= BROADCAST_IDS and self.hints.sparse(self._active, self.graph.n):
                     own = F.broadcast(own)
-                elif self.graph.n > BROADCAST_IDS:  # the state is hashed, so a round sorts no edges
+                elif self.graph.placed and side is src and self.graph.n > BROADCAST_IDS:  # the state is hashed, so a round sorts no edges
                     own = own.hint("shuffle_hash")
                 edges = edges.join(own, side._key)
         for end, c in conditions:
