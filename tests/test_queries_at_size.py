@@ -1,13 +1,14 @@
 """Queries on made lineitem tables: large ids, files in parts, trees checked by every weight."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidegraph import queries
-from tidegraph.algorithms import structure
+from tidegraph.algorithms import paths, structure
 from tidegraph.graph import Graph
+from tidegraph.plans import loop
 from tidegraph.plans.hints import Hints
 from tidegraph.plans.loop import Rounds
+from tidegraph.runtime import materialize
 
 
 def lines(spark, path, chains):
@@ -82,3 +83,29 @@ def test_segments_are_dealt_over_many_tasks(spark):
         assert wide.rdd.getNumPartitions() == 12 and edges.count() == 5000
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_betweenness_writes_a_vertex_a_few_times(spark, monkeypatch):
+    """On a path of 12 levels no level is written anew for each other one."""
+    rows, real = [0], materialize
+
+    def counted(df, name="step"):
+        out = real(df, name)
+        rows[0] += out.count()
+        return out
+
+    monkeypatch.setattr(paths, "materialize", counted)
+    monkeypatch.setattr(loop, "materialize", counted)
+    got = dict(paths.betweenness(Graph.from_pairs(spark, [(i, i + 1) for i in range(11)]), [0, 0]).collect())
+    assert got == {v: 11.0 - v for v in range(12)}
+    assert rows[0] <= 3 * 12
+
+
+def test_triangles_of_hubs_and_cliques(spark):
+    """Against counting by hand; it holds for the former plan too, whose wedges were shuffled one by one."""
+    pairs = [(a, b) for a in range(9) for b in range(a)] + [(20, k) for k in range(19)] + [(k, k + 1) for k in range(9, 18)]
+    g = Graph.from_pairs(spark, pairs, symmetrize=True)
+    near = {v: {b for a, b in pairs if a == v} | {a for a, b in pairs if b == v} for v in range(21)}
+    want = sum(1 for a in near for b in near[a] for c in near[a] & near[b] if a < b < c)
+    assert structure.triangle_count(g) == structure.triangle_count(g, False) == want
+    assert structure.triangle_count(Graph.from_pairs(spark, [(0, 1)], symmetrize=True)) == 0

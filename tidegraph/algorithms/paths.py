@@ -9,10 +9,13 @@ from ..functions.scalar import INT_MAX, great_circle_cm, maximum
 from ..graph import Graph
 from ..operators.edges import EdgeSet, Update
 from ..operators.ordered import PriorityQueue
-from ..plans.hints import DEFAULT, Hints
+from ..plans.hints import BROADCAST_IDS, DEFAULT, Hints
 from ..plans.loop import Rounds
 from ..runtime import discard, materialize
 
+#: Rows of a level that a task may hash; beyond that they are sorted, which spills.
+HASHED_ROWS = 500_000
+
 
 def bfs(graph: Graph, root: int, hints: Hints = DEFAULT) -> DataFrame:
     """(id, parent, depth): the smallest possible parent; -1 where unreached; the root is its own."""
@@ -110,28 +113,41 @@ def closeness_weighted(graph: Graph, source: int) -> int:
 def betweenness(graph: Graph, sources: list[int], normalize: bool = False) -> DataFrame:
     """(id, score): dependencies of all vertices, summed over the sources (each source keeps its own too).
 
-    Path counts go forward by depth, dependencies backward by depth, for all sources in one plan a level.
+    Path counts go forward by depth, dependencies backward by depth, for all sources in one plan a level. A level
+    is a table of its own, so each vertex and edge is met once a source and direction; messages combine before
+    the shuffle, and those that do not go one level on are dropped where they arrive.
     """
-    depth = multi_source_depths(graph, sources)
-    deepest = depth.agg(F.max("depth")).first()[0] or 0
-    edges = graph.edges.select("src", "dst").join(depth.select("run", F.col("id").alias("src"), F.col("depth").alias("_d")), "src")
-    levels = edges.join(depth.select("run", F.col("id").alias("dst"), F.col("depth").alias("_e")), ["run", "dst"]).where("_e = _d + 1").select("run", "src", "dst", "_d")
-    levels = materialize(levels, "levels")
-    hold = Rounds()
-    state = hold.keep(depth.withColumn("paths", F.when(F.col("depth") == 0, 1.0).otherwise(0.0)).withColumn("dep", F.lit(0.0)))
-    for d in range(deepest):
-        sums = levels.where(F.col("_d") == d).join(state.select("run", F.col("id").alias("src"), "paths"), ["run", "src"]).groupBy("run", F.col("dst").alias("id")).agg(F.sum("paths").alias("_m"))
-        state = hold.keep(state.join(sums, ["run", "id"], "left").withColumn("paths", F.col("paths") + F.coalesce("_m", F.lit(0.0))).drop("_m"))
-    state = hold.keep(state.withColumn("dep", 1.0 / F.col("paths")))
-    for d in range(deepest - 1, -1, -1):
-        sums = levels.where(F.col("_d") == d).join(state.select("run", F.col("id").alias("dst"), "dep"), ["run", "dst"]).groupBy("run", F.col("src").alias("id")).agg(F.sum("dep").alias("_m"))
-        state = hold.keep(state.join(sums, ["run", "id"], "left").withColumn("dep", F.col("dep") + F.coalesce("_m", F.lit(0.0))).drop("_m"))
+    spark, out, into = graph.spark, graph.laid_out().edges, graph.transpose().laid_out().edges
+    most = HASHED_ROWS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def sent(edges: DataFrame, level: DataFrame, value: str) -> DataFrame:
+        own = level.select("run", F.col("id").alias("src"), value)
+        own = own.hint("shuffle_hash") if BROADCAST_IDS < level.count() <= most else own
+        return edges.join(own, "src").groupBy("run", F.col("dst").alias("id")).agg(F.sum(value).alias("_m"))
+
+    first = spark.createDataFrame([(s, s) for s in dict.fromkeys(sources)], "run long, id long")
+    levels = [materialize(first.withColumn("paths", F.lit(1.0)), "level")]
+    seen = levels[0].select("run", "id")
+    while True:
+        after = sent(out, levels[-1], "paths").withColumnRenamed("_m", "paths").join(seen, ["run", "id"], "left_anti")
+        after = materialize(after, "level")
+        if after.isEmpty():
+            break
+        levels.append(after)
+        seen = seen.unionByName(after.select("run", "id"))
+    done = [materialize(levels[-1].withColumn("dep", 1.0 / F.col("paths")), "level")]
+    for level in levels[-2::-1]:
+        got = sent(into, done[-1], "dep")
+        done.append(materialize(level.join(got, ["run", "id"], "left").select("run", "id", "paths", (1.0 / F.col("paths") + F.coalesce("_m", F.lit(0.0))).alias("dep")), "level"))
+    state = done[0]
+    for level in done[1:]:
+        state = state.unionByName(level)
     own = state.groupBy("id").agg(F.sum((F.col("dep") - 1.0 / F.col("paths")) * F.col("paths")).alias("score"))
-    out = graph.vertices().join(own, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    out = materialize(out, "scores")
-    hold.release()
-    discard(levels)
+    scores = graph.vertices().join(own, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    scores = materialize(scores, "scores")
+    for level in levels + done:
+        discard(level)
     if normalize:
-        top = out.agg(F.max("score")).first()[0] or 1.0
-        out = out.withColumn("score", F.col("score") / top)
-    return out
+        top = scores.agg(F.max("score")).first()[0] or 1.0
+        scores = scores.withColumn("score", F.col("score") / top)
+    return scores
